@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from boxwright.llm import substrings
+from boxwright.llm import decontaminate, simhash, substrings
 
 QUERIES = {
+    "op6_decontamination": decontaminate.op6_decontamination,
+    "op9_simhash_dedup": simhash.op9_simhash_dedup,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 ORACLE = {
+    "op6_decontamination": decontaminate.ORACLE,
     "op10_substring_dedup": substrings.ORACLE,
 }

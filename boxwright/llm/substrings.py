@@ -239,6 +239,6 @@ WITH d AS (
   SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id
 )
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """

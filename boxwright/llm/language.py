@@ -20,7 +20,7 @@ from boxwright.llm import _text as T
 BITS, SAMPLE, N = 14, 8_000, 4
 #: Share of independent evidence in overlapping 4-grams, and the most that a text may count.
 TEMPER, MOST = 0.25, 120
-DECLARED, ADDRESS, STRENGTH, CONFIDENT = 0.9, 0.8, 20.0, 0.5
+DECLARED, ADDRESS, STRENGTH, CONFIDENT, UNDETERMINED = 0.9, 0.8, 20.0, 0.5, 0.005
 BROADCAST_ROWS = 200_000
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
@@ -158,7 +158,7 @@ def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
         return F.when(c.isNull() | ~c.isin(langs), 0.0).when(c == lang, float(np.log(sure))).otherwise(float(np.log((1 - sure) / max(1, k - 1))))
 
     logs = [F.col("ll")[i] + F.log(F.coalesce(F.col("prior")[i], F.lit(1.0 / k))) + told("declared", x, DECLARED) + told("address", x, ADDRESS) for i, x in enumerate(langs)]
-    logs.append(F.col("ll")[k] + float(np.log(1 / (k + 1))))
+    logs.append(F.col("ll")[k] + float(np.log(UNDETERMINED)))
     top = F.array_max("logs")
     total = F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - top))
     at = F.array_position("logs", top)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxwright.llm import decontaminate, digests, html, language, quality, secrets, simhash, substrings, warc
+from boxwright.llm import decontaminate, digests, html, language, pieces, quality, secrets, simhash, substrings, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_html": html.op4_html,
     "op5_language": language.op5_language,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_warc": warc.op8_warc,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
     "op10_substring_dedup": substrings.op10_substring_dedup,

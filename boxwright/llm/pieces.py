@@ -136,7 +136,7 @@ def encode_words(words: DataFrame, model: Model, partitions: int) -> DataFrame:
     spans = spans.withColumn("piece", F.substr(F.col("word"), F.col("a") + 1, F.col("b") - F.col("a")))
     # the vocabulary is a file of fixed size; a single character stays without a piece
     edges = spans.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR b = a + 1")
-    edge = F.struct(F.coalesce("cost", F.lit(1e12)).alias("cost"), "a", "b", F.coalesce("id", F.lit(-1)).alias("id"))
+    edge = F.struct(F.coalesce("cost", F.lit(1e12)).alias("cost"), "a", "b", F.coalesce("id", F.lit(-1)).alias("id"), F.expr("shiftleft(1L, b) - shiftleft(1L, a + 1)").alias("inner"), F.expr("shiftleft(1L, a) | shiftleft(1L, b)").alias("ends"))
     lattice = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     path = _replay(lattice, n) if model.bpe else _viterbi(lattice, n)
     byte = F.array(*[F.lit(model.byte.get(i, model.unknown)) for i in range(256)])
@@ -151,20 +151,28 @@ def encode_words(words: DataFrame, model: Model, partitions: int) -> DataFrame:
     return path.select(*keys, F.flatten(F.transform("path", tokens)).alias("ids"))
 
 
+def _bound(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _replay(lattice: DataFrame, n: Column) -> DataFrame:
-    """Path of a BPE model: a cut between all characters, then the best merge of two neighbours, step by step."""
+    """Path of a BPE model: a cut between all characters, then the best merge of two neighbours, step by step.
 
-    def merge(cuts: Column, _: Column) -> Column:
-        def fits(e: Column) -> Column:
-            k = F.array_position(cuts, e["a"]).cast("int")
-            return (e["id"] >= 0) & (k > 0) & F.coalesce(F.get(cuts, k + 1) == e["b"], F.lit(False))
+    The cuts are the bits of a long (LONG is under its size). An edge is such a merge while its ends are cuts and one
+    cut is inside.
+    """
 
-        best = F.get(F.filter("edges", fits), F.lit(0))
-        return F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= best["a"]) | (c >= best["b"])))
+    def merge(cuts: Column, _: Column) -> Column:
+        fits = F.filter("many", lambda e: (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1) & (cuts.bitwiseAND(e["ends"]) == e["ends"]))
+        return cuts.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, F.lit(0))["inner"], F.lit(0).cast("long"))))
 
-    done = lattice.withColumn("cuts", F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), merge))
-    pairs = F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("a"), F.slice("cuts", 2, F.size("cuts") - 1).alias("b"))
-    return done.withColumn("path", F.transform(pairs, lambda p: F.get(F.filter("edges", lambda e: (e["a"] == p["a"]) & (e["b"] == p["b"])), F.lit(0))))
+    steps = F.when(F.size("many") > 0, F.sequence(F.lit(1), F.least(n - 1, F.size("many")))).otherwise(F.array().cast("array<int>"))
+    start = F.expr("shiftleft(1L, length(word) + 1) - 1L")
+    many = lattice.withColumn("many", F.filter("edges", lambda e: e["inner"] != 0))
+    done = many.withColumn("cuts", F.aggregate(steps, start, merge))
+    kept = F.filter("edges", lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0))
+    return done.withColumn("path", F.sort_array(F.transform(kept, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), e["id"].alias("id")))))
 
 
 def _viterbi(lattice: DataFrame, n: Column) -> DataFrame:
@@ -176,8 +184,8 @@ def _viterbi(lattice: DataFrame, n: Column) -> DataFrame:
         return F.concat(best, F.array(F.array_min(ways)))
 
     def back(s: Column, _: Column) -> Column:
-        e = F.get("best", s["at"])
-        return F.when(s["at"] == 0, s).otherwise(F.struct(e["a"].alias("at"), F.concat(F.array(e), s["path"]).alias("path")))
+        one = lambda e: F.struct(e["a"].alias("at"), F.concat(F.array(e), s["path"]).alias("path"))
+        return F.when(s["at"] == 0, s).otherwise(_bound(F.get("best", s["at"]), one))
 
     done = lattice.withColumn("best", F.aggregate(F.sequence(F.lit(1), n), start, step))
     none = F.slice("best", 1, 0)

@@ -25,6 +25,8 @@ from boxwright.llm._spark import cut
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Values that a bucket holds at once.
 VALUES = 4 << 20
+#: Links that one task may finish.
+FEW = 2_000_000
 U64 = np.uint64
 
 
@@ -78,8 +80,9 @@ def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     label = np.arange(n)
     while True:
         new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
+        x, y = label[a], label[b]
+        for to, least in ((x, y), (y, x), (a, y), (b, x)):
+            np.minimum.at(new, to, least)
         new = new[new]
         if (new == label).all():
             return label
@@ -145,29 +148,41 @@ def links(points: DataFrame, n_points: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id and component (its smallest id) of every id in the links (a, b), by contraction.
+def _finish(table: pa.Table) -> pa.Table:
+    a, b = table["a"].to_numpy(), table["b"].to_numpy()
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return pa.table({"id": ids, "component": ids[_components(at[: len(a)], at[len(a) :], len(ids))]})
 
-    Each round every node takes the least of itself and its neighbours, and the links between those remain; the number
-    of nodes at least halves. Both are written to the shared folder each round.
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
+    """id and component (its smallest id) of every id in the links (a, b).
+
+    While there are more than ``few`` links, a round contracts them: every node takes the first of itself and its
+    neighbours in an order that is random anew each round, and the links between those remain; their nodes are a
+    fraction of those before, whatever the shape. At most ``few`` links (32 MB)
+    are finished in one task. Each round's results lie in the shared folder.
     """
     edges = cut(edges.filter("a <> b"))
     maps = []
-    while not edges.isEmpty():
+    while edges.count() > few:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to")))
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        to = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("id"), F.least(rank("a"), "m")["id"].alias("to")))
         maps.append(to)
         left = to.select(F.col("id").alias("a"), F.col("to").alias("x"))
         right = to.select(F.col("id").alias("b"), F.col("to").alias("y"))
-        step = edges.join(left, "a").join(right, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = cut(step)
+        edges = cut(edges.join(left, "a").join(right, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    last = edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_finish, "id long, component long")
     if not maps:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        return last
+    last = cut(last)
     out = maps[0].select("id", F.col("to").alias("component"))
-    for to in maps[1:]:
+    for to in [*maps[1:], last.withColumnRenamed("component", "to")]:
         at = to.select(F.col("id").alias("component"), "to")
         out = out.join(at, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-    return out
+    out = cut(out)
+    least = out.groupBy("component").agg(F.min("id").alias("least"))
+    return out.join(least, "component").select("id", F.col("least").alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

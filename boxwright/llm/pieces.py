@@ -24,7 +24,7 @@ from boxwright.llm._spark import shuffle_partitions, text_bytes
 
 SPACE = "▁"
 #: Text of a group, and the longest word that the fold takes; longer ones have a merge loop of their own.
-GROUP_BYTES, LONG = 32 << 20, 48
+GROUP_BYTES, LONG = 6 << 20, 48
 
 
 class Model:
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, model: Model | None = None, group_bytes: int = GROUP
                 ids.append(doc_id.as_py())
                 texts.append(text.as_py() or "")
                 held += len(texts[-1])
-                if held >= group_bytes // 2:
+                if held >= group_bytes:
                     yield group(ids, texts)
                     ids, texts, held = [], [], 0
         if ids:
@@ -300,19 +300,20 @@ def encode(docs: DataFrame, model: Model | None = None, group_bytes: int = GROUP
         m = sent.value
         byte = {i: b for b, i in m.byte.items()}
         told = dict(zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist()))
+        del answers
         doc_ids, sizes, all_, good = [], [], [], []
         for row in range(len(table)):
             words = _unpack_words(table["words"][row].as_py())
-            own: list = [None] * len(words)
+            n, begin, parts_, base = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
             for b, at in _split(words, buckets):
                 x = np.frombuffer(zstandard.decompress(told[b]), "<i4")
-                ends = len(at) + np.cumsum(x[: len(at)])
-                for i, e, k in zip(at.tolist(), ends.tolist(), x[: len(at)].tolist()):
-                    own[i] = x[e - k : e]
-            n = np.array([len(x) for x in own], np.int64)
-            flat = np.concatenate(own) if own else np.empty(0, np.int32)
-            begin = np.cumsum(n) - n
-            right = np.array([_decoded(x.tolist(), m.names, byte, m.silent) == w for x, w in zip(own, words)], bool)
+                k = x[: len(at)].astype(np.int64)
+                n[at], begin[at] = k, base + np.cumsum(k) - k
+                parts_.append(x[len(at) :])
+                base += len(x) - len(at)
+            flat = np.concatenate(parts_) if parts_ else np.empty(0, np.int32)
+            del parts_
+            right = np.array([_decoded(flat[a : a + k].tolist(), m.names, byte, m.silent) == w for a, k, w in zip(begin.tolist(), n.tolist(), words)], bool)
             raw = np.frombuffer(zstandard.decompress(table["codes"][row].as_py()), np.uint8)
             codes = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
             edge = np.r_[0, np.cumsum(table["sizes"][row].as_py())].astype(np.int64)

@@ -55,6 +55,7 @@ class Model:
         self.pieces = [(x, i, float(sp.get_score(i))) for i, x in enumerate(self.names) if not special[i]]
         self.longest = max((len(x) for x, _, _ in self.pieces), default=1)
         self.silent = frozenset(i for i in range(n) if sp.is_control(i))
+        self.late = frozenset(i for _, i in _late(self.pieces)) if self.bpe else frozenset()
         # a cut is safe between two characters unless the first has a follower, and the second a leader, in some piece
         after = {x[k] for x, _, _ in self.pieces for k in range(1, len(x))} - {SPACE}
         before = {x[k] for x, _, _ in self.pieces for k in range(len(x) - 1)} - {SPACE}
@@ -71,6 +72,32 @@ class Model:
         return self.cut.findall(SPACE + s if self.prefix else s)
 
 
+def _late(pieces: list[tuple[str, int, float]]) -> list[tuple[str, int]]:
+    """Pieces whose own better merges don't leave exactly two parts.
+
+    What is inside two cuts evolves alone until one of them goes. So any other piece, when its turn comes in the order
+    of scores, can be merged then or never, and one pass in that order replays a word without late pieces.
+    """
+    cost = {x: -s for x, _, s in pieces}
+    found = []
+    for x, i, s in pieces:
+        n = len(x)
+        spans = ((cost.get(x[a:b]), a, b) for a in range(n) for b in range(a + 2, n + 1))
+        better = sorted(e for e in spans if e[0] is not None and e[0] < -s)
+        cuts, on = (1 << (n + 1)) - 1, n > 1
+        while on:
+            for _, a, b in better:
+                ends, inner = (1 << a) | (1 << b), (1 << b) - (1 << (a + 1))
+                if cuts & ends == ends and (cuts & inner).bit_count() == 1:
+                    cuts &= ~inner
+                    break
+            else:
+                on = False
+        if n > 1 and (cuts & ((1 << n) - 2)).bit_count() != 1:
+            found.append((x, i))
+    return found
+
+
 def _ids(model: Model, word: str) -> list[int]:
     """Encoding of a word too long for the fold, by the same rule, with a heap."""
     import heapq
@@ -128,7 +155,7 @@ def _ids(model: Model, word: str) -> list[int]:
 
 def encode_words(words: DataFrame, model: Model, partitions: int) -> DataFrame:
     """The columns of ``words`` (rows distinct, word not empty) and ids, by lattice and fold."""
-    pieces = words.sparkSession.createDataFrame([(x, i, -s) for x, i, s in model.pieces], "piece string, id int, cost double")
+    pieces = words.sparkSession.createDataFrame([(x, i, -s, i in model.late) for x, i, s in model.pieces], "piece string, id int, cost double, late boolean")
     keys, n = words.columns, F.length("word")
     rows = words.repartition(partitions, "word")
     starts = rows.select(*keys, F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
@@ -137,7 +164,7 @@ def encode_words(words: DataFrame, model: Model, partitions: int) -> DataFrame:
     # the vocabulary is a file of fixed size; a single character stays without a piece
     edges = spans.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR b = a + 1")
     edge = F.struct(F.coalesce("cost", F.lit(1e12)).alias("cost"), "a", "b", F.coalesce("id", F.lit(-1)).alias("id"), F.expr("shiftleft(1L, b) - shiftleft(1L, a + 1)").alias("inner"), F.expr("shiftleft(1L, a) | shiftleft(1L, b)").alias("ends"))
-    lattice = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    lattice = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.coalesce(F.bool_or("late"), F.lit(False)).alias("late"))
     path = _replay(lattice, n) if model.bpe else _viterbi(lattice, n)
     byte = F.array(*[F.lit(model.byte.get(i, model.unknown)) for i in range(256)])
 
@@ -160,17 +187,23 @@ def _replay(lattice: DataFrame, n: Column) -> DataFrame:
     """Path of a BPE model: a cut between all characters, then the best merge of two neighbours, step by step.
 
     The cuts are the bits of a long (LONG is under its size). An edge is such a merge while its ends are cuts and one
-    cut is inside.
+    cut is inside. Words without late pieces take one pass over the edges by score, which does the same merges.
     """
 
+    def fit(cuts: Column, e: Column) -> Column:
+        return (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1) & (cuts.bitwiseAND(e["ends"]) == e["ends"])
+
+    def once(cuts: Column, e: Column) -> Column:
+        return F.when(fit(cuts, e), cuts.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(cuts)
+
     def merge(cuts: Column, _: Column) -> Column:
-        fits = F.filter("many", lambda e: (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1) & (cuts.bitwiseAND(e["ends"]) == e["ends"]))
+        fits = F.filter("many", lambda e: fit(cuts, e))
         return cuts.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, F.lit(0))["inner"], F.lit(0).cast("long"))))
 
     steps = F.when(F.size("many") > 0, F.sequence(F.lit(1), F.least(n - 1, F.size("many")))).otherwise(F.array().cast("array<int>"))
     start = F.expr("shiftleft(1L, length(word) + 1) - 1L")
     many = lattice.withColumn("many", F.filter("edges", lambda e: e["inner"] != 0))
-    done = many.withColumn("cuts", F.aggregate(steps, start, merge))
+    done = many.withColumn("cuts", F.when(F.col("late"), F.aggregate(steps, start, merge)).otherwise(F.aggregate("many", start, once)))
     kept = F.filter("edges", lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0))
     return done.withColumn("path", F.sort_array(F.transform(kept, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), e["id"].alias("id")))))
 

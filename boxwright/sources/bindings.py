@@ -64,3 +64,16 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PX_SQL = "px AS (SELECT vec_id AS image, unnest(range(0, 64))::INT AS pos, (unnest(embedding)::DOUBLE + 0.5) * 255 AS v FROM embeddings)"
+
+
+def hsv_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, color, row, col, h, s, v: 8 by 8 images of integer HSV; colour 0 is dark, the others have a hue each."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.col("label").alias("color"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
+    k, dark = F.col("image") * 64 + F.col("pos"), F.col("color") == 0
+    h = (F.col("color") * 18 + k * 7 % 25) % 180
+    return e.select("image", "color", F.floor(F.col("pos") / 8).cast("int").alias("row"), (F.col("pos") % 8).alias("col"), h.alias("h"), F.when(dark, k * 11 % 90).otherwise(k * 91 % 256).alias("s"), F.when(dark, k * 13 % 120).otherwise(k * 53 % 256).alias("v"))
+
+
+HSV_SQL = """hsv AS (SELECT vec_id AS image, label AS color, pos // 8 AS row, pos % 8 AS col, (label * 18 + k * 7 % 25) % 180 AS h,
+  CASE label WHEN 0 THEN k * 11 % 90 ELSE k * 91 % 256 END AS s, CASE label WHEN 0 THEN k * 13 % 120 ELSE k * 53 % 256 END AS v
+  FROM (SELECT vec_id, label, pos, vec_id * 64 + pos AS k FROM embeddings, range(0, 64) t(pos)))"""

@@ -37,6 +37,29 @@ def test_greedy_uses_each_side_once(spark):
     assert len({(r.image, r.key) for r in got}) == len({(r.image, r.ord) for r in got}) == len(got) > 0
 
 
+def test_clusters_match_a_plain_loop(spark):
+    from boxwright.operators.kernels import clusters
+
+    points = [("a", float(i * 7 % 40 + 200 * (i % 3)), float(i * 13 % 30 + 50 * (i % 2))) for i in range(90)] + [("b", 1.0, 1.0), ("b", 1.0, 2.0)]
+    got = {(r["class"], r.cx, r.cy): r["key"] for r in clusters(spark.createDataFrame(points, "class string, cx double, cy double"), {"a": 3, "b": 5}).collect()}
+    a = [p[1:] for p in points if p[0] == "a"]
+    centre = [sorted(a)[i * 30] for i in range(3)]
+    for _ in range(50):
+        at = [min(range(3), key=lambda c, p=p: ((p[0] - centre[c][0]) ** 2 + (p[1] - centre[c][1]) ** 2, c)) for p in a]
+        groups = [[p for p, c in zip(a, at) if c == i] for i in range(3)]
+        centre = [(sum(p[0] for p in g) / len(g), sum(p[1] for p in g) / len(g)) if g else centre[i] for i, g in enumerate(groups)]
+    order = sorted(range(3), key=lambda i: centre[i])
+    assert {p: got["a", *p] for p in a} == {p: f"a#{order.index(c)}" for p, c in zip(a, at)}
+    assert got["b", 1.0, 1.0] == got["b", 1.0, 2.0] == "b#0"
+
+
+def test_qc_summary_agrees_with_its_parts(spark):
+    r = QUERIES["qc_summary"](spark, SF).collect()
+    n = {x.status: x.n for x in QUERIES["position_status_counts"](spark, SF).collect()}
+    assert len(r) == 1 and (r[0].n_pass, r[0].n_fail, r[0].n_skipped) == (n["PASS"], n["FAIL"], n["SKIPPED"])
+    assert r[0].color_count == QUERIES["color_summary"](spark, SF).first().total and r[0].predictions > 0
+
+
 def test_entry_imports(spark):
     import __spark_entry__ as e
 

@@ -53,6 +53,15 @@ def test_clusters_match_a_plain_loop(spark):
     assert got["b", 1.0, 1.0] == got["b", 1.0, 2.0] == "b#0"
 
 
+def test_opening_rounds_a_block_and_drops_a_dot(spark):
+    from boxwright.operators.kernels import dilate, erode
+
+    block = {8 * y + x for y in range(2, 6) for x in range(2, 6)}
+    mask = spark.createDataFrame([(1, p) for p in sorted(block | {63})], "image long, pos int")
+    got = {r.pos for r in dilate(erode(mask, 3), 3).collect()}
+    assert got == block - {8 * 2 + 2, 8 * 2 + 5, 8 * 5 + 2, 8 * 5 + 5}
+
+
 def test_qc_summary_agrees_with_its_parts(spark):
     r = QUERIES["qc_summary"](spark, SF).collect()
     n = {x.status: x.n for x in QUERIES["position_status_counts"](spark, SF).collect()}

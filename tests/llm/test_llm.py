@@ -175,3 +175,12 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for df in (substrings.remove_repeats(none), simhash.near_duplicates(none), decontaminate.mark(none, bench), secrets.secrets(none), digests.fingerprint(none), html.extract(pages), language.identify(language.document_rows(none, "doc_id")), quality.score(none, quality.fit(none, labels)), pieces.encode(none)):
         assert df.count() == 0
+
+
+def test_fold_matches_the_heap_on_words_with_and_without_late_pieces(spark):
+    m = pieces.Model()
+    names = {m.names[i] for i in m.late}
+    words = sorted({"▁" * n + w for n in range(18) for w in ("", "x", "the", "aaaaaaa", "banana", "ééé", "internationalisation", "zqxjk")} - {""})
+    assert names and any(x in w for x in names for w in words) and any(all(x not in w for x in names) for w in words)
+    got = pieces.encode_words(spark.createDataFrame([(0, w) for w in words], "bucket long, word string"), m, 4).collect()
+    assert {r.word: list(r.ids) for r in got} == {w: pieces._ids(m, w) for w in words}

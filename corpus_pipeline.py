@@ -9,9 +9,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boxwright.llm import decontaminate, language, pieces, secrets, simhash
-from boxwright.llm._spark import shared_dir, table
+from boxwright.llm import decontaminate, language, pieces, secrets, similar
+from boxwright.llm._spark import cut, shared_dir, table
+
+#: Number of a row within a stage; doc_id may repeat or be null.
+ROW = "_row"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +24,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of the smallest doc_id; a null doc_id has no group."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies, the one of the smallest doc_id.
+
+    A group is what op9's fingerprints or a similarity of 0.8 of 5-word shingles link.
+    """
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    groups = similar.groups(rows.select(F.col(ROW).alias("id"), "text")).withColumnRenamed("id", ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))
+    kept = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("group").agg(first.alias("r")).select(f"r.{ROW}")
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

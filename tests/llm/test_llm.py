@@ -184,3 +184,18 @@ def test_fold_matches_the_heap_on_words_with_and_without_late_pieces(spark):
     assert names and any(x in w for x in names for w in words) and any(all(x not in w for x in names) for w in words)
     got = pieces.encode_words(spark.createDataFrame([(0, w) for w in words], "bucket long, word string"), m, 4).collect()
     assert {r.word: list(r.ids) for r in got} == {w: pieces._ids(m, w) for w in words}
+
+
+def test_near_copies_of_similarity_are_dropped(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+    edits = lambda at: " ".join("new" if i in at else w for i, w in enumerate(base))
+    near, far = edits({10, 50}), edits({5, 25, 45, 65, 85, 105})  # 106 of 126 shared shingles: 0.84; 86 of 146: 0.59
+    rows = [(7, " ".join(base)), (8, near), (9, far), (3, far.upper()), (10, "a b c"), (11, "A  b c"), (12, "a b d")]
+    df = docs(spark, rows)
+    fp = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(df).collect()}
+    assert (fp[7] ^ fp[8]).bit_count() > 4
+    got = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [3, 7, 10, 12]

@@ -2,7 +2,8 @@ r"""Secret scans: fixed patterns, and a token-efficiency test for other random s
 
 A string of 20 or more characters from a secret's alphabet is random if a public byte-level vocabulary needs a token
 for fewer than ``ratio`` characters: words and names compress, keys don't. Digests of known lengths, UUIDs, numbers
-and identifiers made of words are excluded first.
+and identifiers made of words are excluded first. Where a whole run isn't random, its parts between / = + _ - are
+tested, adjacent random ones as one, so that a key behind a path is found.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ _HEX_LONG = re.compile(r"[0-9a-f]{24}")
 _DENSE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
+#: A UUID (1), or a part between the separators of a run.
+_PART = re.compile(r"((?<![0-9A-Za-z])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![0-9A-Za-z]))|[A-Za-z0-9]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\Z")
 #: Lengths in hexadecimal digits of CRC-64 doubled, MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGEST_SIZES = frozenset((32, 40, 56, 64, 96, 128))
@@ -41,13 +44,47 @@ def encoding(vocabulary: bytes):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def excluded(s: str) -> bool:
-    """Digests of known sizes, UUIDs, numbers, and identifiers of words."""
-    if _UUID.match(s) or not re.search(r"[0-9]", s) or not re.search(r"[A-Za-z]", s):
+def _dense(s: str, encode, ratio: float) -> bool:
+    return len(s) < ratio * len(encode(s))
+
+
+def excluded(s: str, encode, ratio: float = RATIO) -> bool:
+    """Digests of known sizes, UUIDs, numbers, and identifiers whose parts are words.
+
+    Parts of up to three letters count as words; longer ones are words if together they compress, in lower case where
+    they are capitals.
+    """
+    if _UUID.match(s) or not re.search(r"[A-Za-z]", s):
         return True
     if _DIGEST.match(s) and len(s) in _DIGEST_SIZES:
         return True
-    return bool(_NAME.match(s))
+    if not _NAME.match(s):
+        return False
+    long = [w.lower() if w.isupper() else w for w in re.findall(r"[A-Za-z]{4,}", s)]
+    return sum(map(len, long)) >= ratio * sum(len(encode(w)) for w in long)
+
+
+def _random(s: str, encode, ratio: float) -> Iterator[tuple[int, int]]:
+    """(start, end) of the random strings in a run: all of it, or else the longest rows of random parts between its separators."""
+    if len(s) < LEAST or excluded(s, encode, ratio):
+        return
+    if _dense(s, encode, ratio):
+        yield 0, len(s)
+        return
+    rows, open_ = [], False
+    for m in _PART.finditer(s):
+        p = m[0]
+        if not m[1] and _dense(p, encode, ratio) and not (len(p) >= LEAST and excluded(p, encode, ratio)):
+            if open_:
+                rows[-1] = (rows[-1][0], m.end())
+            else:
+                rows.append(m.span())
+            open_ = True
+        else:
+            open_ = False
+    for a, b in rows:
+        if b - a >= LEAST and not excluded(s[a:b], encode, ratio) and _dense(s[a:b], encode, ratio):
+            yield a, b
 
 
 def scan(text: str, encode, ratio: float = RATIO) -> Iterator[tuple[int, int, int]]:
@@ -63,10 +100,10 @@ def scan(text: str, encode, ratio: float = RATIO) -> Iterator[tuple[int, int, in
     base = sorted(found)
     for m in _DENSE.finditer(text):
         s = m[0].strip("-=_/+")
-        if len(s) >= LEAST and not excluded(s) and len(s) < ratio * len(encode(s)):
-            a = m.start() + m[0].index(s)
-            if not any(x < a + len(s) and a < y for x, y, _ in base):
-                found.append((a, a + len(s), 3))
+        at = m.start() + m[0].index(s)
+        for a, b in _random(s, encode, ratio):
+            if not any(x < at + b and at + a < y for x, y, _ in base):
+                found.append((at + a, at + b, 3))
     return sorted(found)
 
 

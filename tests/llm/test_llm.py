@@ -186,6 +186,18 @@ def test_fold_matches_the_heap_on_words_with_and_without_late_pieces(spark):
     assert {r.word: list(r.ids) for r in got} == {w: pieces._ids(m, w) for w in words}
 
 
+def test_secrets_without_digits_and_behind_paths(spark):
+    letters, key = "qZxWvKjPfGtRbYhNmDcLsXoB", "Zx9Qw3Rt7Yu1Op5As8Df2Gh6"
+    paths = [f"config/production/keys/{key}", f"https/api/configuration/production/key={key}"]
+    plain = ["a/configuration_production_settings/directory-listing", "CONFIGURATION_PRODUCTION_SETTINGS", "internationalisation", "550e8400-e29b-41d4-a716-446655440000", "2024-01-02/12345678901234567890"]
+    found = [letters, letters.lower(), *paths]
+    got = {r.doc_id: r for r in secrets.secrets(docs(spark, list(enumerate(found + plain)))).collect()}
+    for i, t in enumerate(found):
+        start, end = map(int, got[i].spans.removeprefix("dense:").split(":"))
+        assert start <= max(t.find(key), 0) and end == len(t)
+    assert all(got[len(found) + i].n_dense == 0 for i in range(len(plain)))
+
+
 def test_near_copies_of_similarity_are_dropped(spark):
     import corpus_pipeline
 

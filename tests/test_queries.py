@@ -69,6 +69,17 @@ def test_qc_summary_agrees_with_its_parts(spark):
     assert r[0].color_count == QUERIES["color_summary"](spark, SF).first().total and r[0].predictions > 0
 
 
+def test_line_errors_read_the_values(spark):
+    from boxwright.operators.lint import line_errors
+
+    lines = ["0 0.5 0.5 0.1 0.1", "9 0.5 1.5 0.1 0.1", "x 0.5 0.5 0.1 0.1", "0 0.5 y 0.1 0.1", "1.0 0 0 0 0", "0 0 0", "", "-1 nan 1e-5 -1e-5 -0.0005 z", "7 0 1 1.0 +.5"]
+    got = {}
+    for r in line_errors(spark.createDataFrame(list(enumerate(lines)), "i int, line string"), 8).collect():
+        got.setdefault(r.i, []).append(r.message)
+    bad, out = "cannot parse", " out of range [0, 1]"
+    assert got == {1: ["invalid class_id 9 (must be 0-7)", f"y=1.5{out}"], 2: [bad], 3: [bad], 4: [bad], 5: ["expected 5 values, got 3"], 7: ["invalid class_id -1 (must be 0-7)", f"x=nan{out}", f"w=-1e-05{out}", f"h=-0.0005{out}"]}
+
+
 def test_entry_imports(spark):
     import __spark_entry__ as e
 

@@ -75,11 +75,27 @@ def freshness(spark, sf):
     return o.groupBy("o_custkey").agg(F.coalesce(a >= b, F.lit(False)).alias("fresh"))
 
 
+def epochs(lines):
+    """The ``lines`` (line and further columns) that are epoch records, with epoch, total_epochs, box_loss, cls_loss, dfl_loss."""
+    p = r"(\d+)/(\d+)\s+[\d.]+\w*\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)"
+    names = {"epoch": "int", "total_epochs": "int", "box_loss": "double", "cls_loss": "double", "dfl_loss": "double"}
+    found = lines.filter(F.col("line").rlike(p)).withColumns({c: F.regexp_extract("line", p, i).try_cast(t) for i, (c, t) in enumerate(names.items(), 1)})
+    return found.dropna(subset=list(names))  # "1.2.3" is no number
+
+
 def epoch_log_parse(spark, sf):
+    """Box loss over the lines of discount and tax of at least 0.01, as its SQL has it; epoch_log_losses has all lines and losses."""
     line = F.format_string("INFO %d/%d 1.2G %.3f %.3f %.3f", F.col("l_linenumber"), F.lit(9), F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"))
-    p = r"(\d+)/(\d+)\s+[\d.]+G\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)"
-    g = lambda i, t: F.regexp_extract(line, p, i).cast(t)
-    return B.table(spark, sf, "lineitem").filter("l_discount >= 0.01 AND l_tax >= 0.01").groupBy(g(1, "int").alias("epoch"), g(2, "int").alias("total_epochs")).agg(F.count("*").alias("n"), F.sum(g(3, "double")).alias("box_loss"))
+    rows = B.table(spark, sf, "lineitem").filter("l_discount >= 0.01 AND l_tax >= 0.01").select(line.alias("line"))
+    return epochs(rows).groupBy("epoch", "total_epochs").agg(F.count("*").alias("n"), F.sum("box_loss").alias("box_loss"))
+
+
+def epoch_log_losses(spark, sf):
+    """All three losses over all of lineitem; every third order's lines have no memory, every eleventh's are no epoch lines."""
+    memory = F.when(F.col("l_orderkey") % 3 == 0, "0").otherwise("1.2G")
+    line = F.format_string("INFO %d/%d %s %.3f %.3f %.3f", F.col("l_linenumber"), F.lit(9), memory, F.abs("l_quantity"), F.abs("l_discount"), F.abs("l_tax"))
+    line = F.when(F.col("l_orderkey") % 11 == 0, "INFO results saved").otherwise(line)
+    return epochs(B.table(spark, sf, "lineitem").select(line.alias("line"))).groupBy("epoch", "total_epochs").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("box_loss", "cls_loss", "dfl_loss")])
 
 
 def log_severity(spark, sf):
@@ -112,7 +128,7 @@ def expected_color_lookup(spark, sf):
 
 _N = f"WITH {B.PX_SQL}, nm AS (SELECT pos, avg(v) AS mean, sqrt(greatest(coalesce(var_samp(v), 0), 1)) AS std FROM px WHERE image % 2 = 0 GROUP BY pos), cs AS (SELECT image, count(*) AS n, avg(v) AS mean, min(v) AS min, max(v) AS max, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.9) AS p90 FROM px WHERE v >= 20 GROUP BY image) "
 _S = "WITH sp AS (SELECT doc_id, CASE WHEN k <= round_even(n * 0.7, 0) THEN 'train' WHEN k <= round_even(n * 0.85, 0) THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality, toxic ORDER BY md5(doc_id || ':42'), doc_id) AS k, (count(*) OVER (PARTITION BY quality, toxic))::DOUBLE AS n FROM labels)) "
-QUERIES = {f.__name__: f for f in (normal_model, anomaly_zmask, stratified_split, split_counts, seeded_sample, last_metrics, latest_run, next_version, dir_fingerprint, freshness, epoch_log_parse, log_severity, color_channel_stats, color_running_stats, expected_color_lookup)}
+QUERIES = {f.__name__: f for f in (normal_model, anomaly_zmask, stratified_split, split_counts, seeded_sample, last_metrics, latest_run, next_version, dir_fingerprint, freshness, epoch_log_parse, epoch_log_losses, log_severity, color_channel_stats, color_running_stats, expected_color_lookup)}
 ORACLE = {
     "normal_model": _N + "SELECT * FROM nm",
     "anomaly_zmask": _N + "SELECT image, px.pos FROM px JOIN nm ON px.pos = nm.pos WHERE image % 2 = 1 AND (abs(v - mean) / (std + 1e-6) >= 3 OR abs(v - mean) >= 70)",
@@ -125,6 +141,7 @@ ORACLE = {
     "dir_fingerprint": "SELECT source, md5(string_agg(doc_id::VARCHAR || n_chars::VARCHAR, '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source",
     "freshness": "SELECT o_custkey, coalesce(max(o_orderdate) FILTER (o_orderstatus = 'F') >= max(o_orderdate) FILTER (o_orderstatus = 'O'), false) AS fresh FROM orders GROUP BY o_custkey",
     "epoch_log_parse": "SELECT l_linenumber AS epoch, 9 AS total_epochs, count(*) AS n, sum(l_quantity) AS box_loss FROM lineitem WHERE l_discount >= 0.01 AND l_tax >= 0.01 GROUP BY 1",
+    "epoch_log_losses": "SELECT l_linenumber AS epoch, 9 AS total_epochs, count(*) AS n, sum(round(abs(l_quantity), 3)) AS box_loss, sum(round(abs(l_discount), 3)) AS cls_loss, sum(round(abs(l_tax), 3)) AS dfl_loss FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1",
     "log_severity": "SELECT CASE WHEN lower(text) LIKE '%error%' THEN 'error' WHEN lower(text) LIKE '%warning%' THEN 'warning' WHEN lower(text) LIKE '%success%' THEN 'success' WHEN lower(text) LIKE '%info%' THEN 'info' ELSE 'plain' END AS severity, count(*) AS n FROM conversations GROUP BY 1",
     "color_channel_stats": _N + "SELECT * FROM cs",
     "color_running_stats": _N + "SELECT label AS color, count(*) AS count, avg(mean) AS mean, min(min) AS min, max(max) AS max, avg(p10) AS p10, avg(p90) AS p90 FROM cs JOIN embeddings ON image = vec_id GROUP BY label",

@@ -80,6 +80,14 @@ def test_line_errors_read_the_values(spark):
     assert got == {1: ["invalid class_id 9 (must be 0-7)", f"y=1.5{out}"], 2: [bad], 3: [bad], 4: [bad], 5: ["expected 5 values, got 3"], 7: ["invalid class_id -1 (must be 0-7)", f"x=nan{out}", f"w=-1e-05{out}", f"h=-0.0005{out}"]}
 
 
+def test_epoch_lines_as_the_reference_reads_them(spark):
+    from boxwright.operators.reports import epochs
+
+    lines = ["5/100 3.66G 1.5 2.25 0.75 64 640", "[12:00] INFO 6/100   0   0.000 2 .5", "INFO results saved", "7/100 1G 1.2.3 1 1"]
+    got = epochs(spark.createDataFrame([(x,) for x in lines], "line string")).drop("line").collect()
+    assert sorted(map(tuple, got)) == [(5, 100, 1.5, 2.25, 0.75), (6, 100, 0.0, 2.0, 0.5)]
+
+
 def test_entry_imports(spark):
     import __spark_entry__ as e
 

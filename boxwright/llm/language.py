@@ -5,7 +5,8 @@ declares (markup or metadata), of its address (suffix or first path segment), an
 towards its domain's, and that towards the corpus's; the priors are grouped sums over all rows of what their texts
 say. An undetermined class has every 4-gram equally likely: it wins for texts in no known language.
 
-The likelihoods are fitted on at most about ``sample`` rows with a declared language, chosen by a hash.
+The likelihoods are fitted on about ``sample`` rows with a declared language, chosen by a hash, and more where a language
+would have under RARE of them. A language declared by LEAST_ROWS rows or more is a class; of fewer, none.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ BITS, SAMPLE, N = 14, 8_000, 4
 TEMPER, MOST = 0.25, 120
 DECLARED, ADDRESS, STRENGTH, CONFIDENT, UNDETERMINED = 0.9, 0.8, 20.0, 0.5, 0.005
 BROADCAST_ROWS = 200_000
+LEAST_ROWS, RARE = 5, 200
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
@@ -53,10 +55,14 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     ``rows`` has text and declared.
     """
     known = rows.filter("declared IS NOT NULL AND text IS NOT NULL").select("declared", F.col("text").alias("text"))
-    n = known.count()
+    n = {r.declared: r["count"] for r in known.groupBy("declared").count().filter(F.col("count") >= LEAST_ROWS).collect()}
+    if not n:
+        return [], np.full((1, _SIZE + 1), -np.log(_SIZE) - 0.2, np.float32)
+    share = sample / sum(n.values())
     span = 1 << 30
-    if n > sample:
-        known = known.filter(F.pmod(F.xxhash64("text"), F.lit(span)) < int(span * sample / n))
+    # by language, so that the rare are fitted too
+    bound = known.sparkSession.createDataFrame([(k, int(span * min(1.0, max(share, RARE / x)))) for k, x in n.items()], "declared string, bound long")
+    known = known.join(F.broadcast(bound), "declared").filter(F.pmod(F.xxhash64("text"), F.lit(span)) < F.col("bound")).select("declared", "text")
 
     def count(batches):
         for batch in batches:
@@ -74,10 +80,9 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return pa.table({"lang": [key[0].as_py()], "n": [sum(np.frombuffer(x, "<f8") for x in table["n"].to_pylist()).astype("<f8").tobytes()]})
 
-    # a declared language is a code of a fixed list, so rows are few; codes with under 1 in 1000 rows are no class
+    # a declared language is a code of a fixed list, so rows are few
     got = sorted((r.lang, np.frombuffer(r.n, "<f8")) for r in known.mapInArrow(count, "lang string, n binary").groupBy("lang").applyInArrow(add, "lang string, n binary").collect())
-    all_ = sum(x[:-1].sum() for _, x in got)
-    got = [(k, x) for k, x in got if x[:-1].sum() >= all_ / 1000 and x[:-1].sum() > 0]
+    got = [(k, x) for k, x in got if x[:-1].sum() > 0]
     w = np.zeros((len(got) + 1, _SIZE + 1), np.float32)
     for i, (_, x) in enumerate(got):
         w[i, :-1] = np.log(0.8 * x[:-1] / x[:-1].sum() + 0.2 / _SIZE)  # a fifth of a text may be anything

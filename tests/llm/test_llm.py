@@ -147,6 +147,15 @@ def test_language(spark):
     assert language.keep_identified(df).count() == 21
 
 
+def test_language_keeps_rare_ones(spark):
+    en, other = "the cat and the dog were in the house with the other one ", "kissa ja koira olivat talossa toisen kanssa "
+    rows = [(i, f"{i} {en * 60}", "en", "s") for i in range(300)] + [(i, f"{i} {other}", "fi", "t") for i in range(300, 308)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for sample in (8000, 50):
+        got = {r.doc_id: r.lang_id for r in language.identify(language.document_rows(df, "doc_id"), sample).collect()}
+        assert all(got[i] == ("en" if i < 300 else "fi") for i in range(308))
+
+
 def test_quality(spark):
     good, bad = "a plain sentence of words that goes on ", "$$ %% buy buy buy ## !! "
     df = docs(spark, [(i, (good if i % 3 else bad) * 4) for i in range(90)] + [(90, None), (91, "")])

@@ -2,7 +2,7 @@
 
 A MinHash sketch of each text is cut into bands; texts that share a band are candidates, and a candidate pair is linked
 only if its shingle sets, compared in full, are similar enough. A pair at 0.8 shares none of the bands with a
-probability of 0.0004; one above it, with less.
+probability of 0.0006; one above it, with less.
 
 A band shared by many is a list in which each text is compared with the WIDTHS before it, first with one, then with more
 unless both are in one group by then, so a large group of near copies isn't compared in pairs.
@@ -19,8 +19,8 @@ from boxwright.llm import _text as T
 from boxwright.llm import simhash
 from boxwright.llm._spark import cut
 
-WORDS, BANDS, ROWS = 5, 20, 5
-WIDTHS = (1, 32)
+WORDS, BANDS, ROWS = 5, 14, 4
+WIDTHS, BROADCAST_BYTES = (1, 32), 64 << 20
 U64 = np.uint64
 _SEEDS = T.mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * T.BASE_2)
 
@@ -88,37 +88,59 @@ def shingles(docs: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame, width: int) -> DataFrame:
-    """Pairs of ``sets`` (id, group, size, bands) of different groups and fitting sizes that share a band: a, b, ga, gb."""
-    rows = sets.select(F.struct("id", "group", "size").alias("x"), "bands", F.posexplode("bands").alias("band", "key"))
-    rows = rows.select("x", "key", F.get("bands", (F.col("band") + 1) % BANDS).alias("next"))
+    """Pairs of ``sets`` (id, label, size, bands) of different labels and fitting sizes that share a band: a, b, la, lb."""
+    rows = sets.select("id", "label", "size", "bands", F.posexplode("bands").alias("band", "key"))
+    rows = rows.select("key", F.get("bands", (F.col("band") + 1) % BANDS).alias("next"), F.struct("id", "label", "size").alias("x"))
     w = Window.partitionBy("key").orderBy("next", "x").rowsBetween(-width, -1)
     pairs = rows.select(F.col("x").alias("y"), F.collect_list("x").over(w).alias("before")).select("y", F.explode("before").alias("x"))
-    fit = pairs.filter("x.group <> y.group AND 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
-    return fit.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).selectExpr("x.id AS a", "y.id AS b", "x.group AS ga", "y.group AS gb").distinct()
+    fit = pairs.filter("x.label <> y.label AND 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
+    return fit.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).selectExpr("x.id AS a", "y.id AS b", "x.label AS la", "y.label AS lb").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` whose sets have a similarity of 0.8 or more: 9 times the common ones are 4 times the sum of the sizes."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    used = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    if 16 * used.count() <= BROADCAST_BYTES:
+        used = F.broadcast(used)  # texts stay where they are
     sets = cut(shingles(docs.join(used, "id", "left_semi")))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("ga", "gb")
+    return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("la", "lb")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """id and group (its smallest id) of every row of ``docs`` (id, text; id distinct): what SimHash or similarity links, directly or over others."""
-    near = cut(simhash.near_duplicates(docs.select(F.col("id").alias("doc_id"), "text")).select(F.col("doc_id").alias("id"), F.col("component_id").alias("group")))
+    near = cut(simhash.near_duplicates(docs.select(F.col("id").alias("doc_id"), "text")).select(F.col("doc_id").alias("id"), F.col("component_id").alias("label")))
     sets = cut(sketches(docs).join(near, "id"))
     # equal sets are one, and go with each other's groups
-    one = cut(sets.groupBy("whole", "size").agg(F.min(F.struct("id", "group", "bands")).alias("r")).select("whole", "size", "r.*"))
-    twins = sets.select("whole", "size", F.col("group").alias("a")).distinct().join(one.select("whole", "size", F.col("group").alias("b")), ["whole", "size"])
+    one = cut(sets.groupBy("whole", "size").agg(F.min(F.struct("id", "label", "bands")).alias("r")).select("whole", "size", "r.*"))
+    twins = sets.select("whole", "size", F.col("label").alias("a")).distinct().join(one.select("whole", "size", F.col("label").alias("b")), ["whole", "size"])
     links = cut(twins.filter("a <> b").select("a", "b").distinct())
     label = cut(simhash.components(links))
     for width in WIDTHS:
-        pairs = candidates(one, width)
-        for g in ("ga", "gb"):
-            pairs = pairs.join(label.select(F.col("id").alias(g), F.col("component").alias(f"to_{g}")), g, "left")
-        pairs = cut(pairs.filter("coalesce(to_ga, ga) <> coalesce(to_gb, gb)").select("a", "b", "ga", "gb"))
+        now = one.join(label.select(F.col("id").alias("label"), "component"), "label", "left")
+        pairs = cut(candidates(now.select("id", F.coalesce("component", "label").alias("label"), "size", "bands"), width))
         links = cut(links.union(verified(docs, pairs)).distinct())
         label = cut(simhash.components(links))
-    return near.join(label.select(F.col("id").alias("group"), "component"), "group", "left").select("id", F.coalesce("component", "group").alias("group"))
+    return near.join(label.select(F.col("id").alias("label"), "component"), "label", "left").select("id", F.coalesce("component", "label").alias("group"))
+
+
+def keep_first(docs: DataFrame, stable: bool = False) -> DataFrame:
+    """One row of each group of ``docs``, that of the smallest doc_id (null last, then in the order of the rows); columns as they are.
+
+    Rows are numbered by their place, so null and repeated doc_ids are told apart. ``stable`` says that docs gives the
+    same rows in the same partitions whenever it is read, as files do; else it is written to the shared folder first.
+    Should a row not be the one that was judged, the job fails. Texts without words are one group; no rows give none.
+    """
+    if not stable:
+        docs = cut(docs)
+    row, seen = F.monotonically_increasing_id(), F.xxhash64("text")
+    ids = cut(docs.select(row.alias("id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("d"), seen.alias("x")))
+    named = cut(groups(docs.select(row.alias("id"), "text")).join(ids, "id"))
+    first = named.groupBy("group").agg(F.min(F.struct("d", "id"))["id"].alias("first"))
+    gone = cut(named.join(first, "group").filter("id <> first").select(F.col("id").alias("_id"), F.col("x").alias("_was")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"), row.alias("_id"), seen.alias("_x"))
+    # gone rows are broadcast while their measured size allows
+    both = rows.join(F.broadcast(gone) if 48 * gone.count() <= BROADCAST_BYTES else gone, "_id", "left")
+    changed = F.raise_error(F.lit("the rows of docs changed between two readings")).cast("boolean")
+    stays = F.when(F.col("_was").isNull(), True).when(F.col("_was") == F.col("_x"), False).otherwise(changed)
+    return both.filter(stays).select(*[F.col("_r").getField(c).alias(c) for c in docs.columns])

@@ -601,3 +601,83 @@ def test_near_copies_of_similarity_are_dropped(spark):
     assert (fp[7] ^ fp[8]).bit_count() > 4
     got = corpus_pipeline.drop_near_copies(spark, df, "")
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [3, 7, 10, 12]
+
+
+def test_one_row_of_each_group_by_brute_force(spark, tmp_path):
+    """Groups by all pairs of 5-word shingle sets and all pairs of fingerprints; null, equal and repeated rows; from files and not."""
+    from boxwright.llm import similar
+
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(400)}" for _ in range(n)] for n in (60, 80, 100, 120)]
+    rows = []
+    for i in range(60):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        rows.append((rng.choice([i, 7, None]), " ".join(w)))
+    rows += [rows[0], rows[1], (None, None), (3, ""), (4, "a b"), (5, "A b"), (6, "a c"), (None, "alone"), (99, "long " * 50_000)]
+    cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := cut(t)) else set() for _, t in rows]
+    df = docs(spark, rows)
+    marks = simhash.fingerprints(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    fp = {r.doc_id: r.fp & (1 << 64) - 1 for r in marks}
+    part = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if (fp[a] ^ fp[b]).bit_count() <= 4 or (sets[a] and both / len(sets[a] | sets[b]) >= 0.8):
+                part = [part[b] if p == part[a] else p for p in part]
+    expect = []
+    for g in set(part):
+        ids = [rows[k][0] for k in range(len(rows)) if part[k] == g]
+        known = [i for i in ids if i is not None]
+        expect.append(str(min(known) if known else None))
+    path = f"file://{tmp_path}/d"
+    df.repartition(3).write.parquet(path)
+    for d, stable in ((df, False), (spark.read.parquet(path), True)):
+        got = similar.keep_first(d, stable)
+        assert got.columns == d.columns and sorted(str(r.doc_id) for r in got.collect()) == sorted(expect)
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Each stage's rows on its own input, and run() as the last one's: nulls, empty texts, ties, repeated rows, an empty table."""
+    import sys
+    from pathlib import Path
+
+    import sentencepiece
+
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+    import corpus_pipeline
+    import public_tokenizers
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    en = "the of and to in that is was for with as his on be at by which have from this".split()
+    fr = "le de un et que dans pour ce qui ne sur se pas plus par je avec tout faire son".split()
+    text = lambda kind, n=80: " ".join(rng.choices(kind, k=n)) + f" {rng.random()}"
+    rows = [(i, text(en if i % 3 else fr), "en" if i % 3 else "fr", f"s{i % 4}", 5) for i in range(60)]
+    rows += [(60, rows[1][1], "en", "s0", 5), (60, rows[2][1] + " x", "en", "s0", 5), (61, "1234 5678", "en", "s1", 5), (62, None, "en", None, None), (None, text(en), None, None, 5), (63, "", None, "s1", 0)]
+    item = " ".join(f"item{k}" for k in range(12))
+    rows += [(64, f"{text(en)} {item}", "en", "s1", 5), (64, text(en), "en", "s1", 5), (65, f"{text(en)} token = Zx9Qw3Rt7Yu1", "en", "s1", 5)]
+    top = f"{tmp_path}/sf"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    docs_, kept = spark.read.parquet(f"{top}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs_, top)
+        if name != "sentencepiece":
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        out.write.parquet(f"{top}/{name}")
+        docs_ = spark.read.parquet(f"{top}/{name}")
+        kept[name] = sorted((str(r.doc_id), r.text) for r in docs_.collect()) if name != "sentencepiece" else docs_.collect()
+    of = lambda rs: sorted((str(r[0]), r[1]) for r in rs)
+    assert kept["language_id"] == of(r for r in rows if r[0] not in (61, 62, 63))
+    near = {("60", rows[60][1]), ("60", rows[61][1])}
+    assert kept["simhash_near_dedup"] == [r for r in kept["language_id"] if r not in near]
+    assert kept["benchmark_decontamination"] == [r for r in kept["simhash_near_dedup"] if item not in r[1]]
+    assert kept["secret_scans"] == sorted((i, t.replace("token = Zx9Qw3Rt7Yu1", "[secret]")) for i, t in kept["benchmark_decontamination"])
+    assert sorted((str(r.doc_id), list(r.ids)) for r in kept["sentencepiece"]) == sorted((i, sp.encode(t)) for i, t in kept["secret_scans"])
+    assert sorted((str(r.doc_id), list(r.ids)) for r in corpus_pipeline.run(spark, top).collect()) == sorted((str(r.doc_id), list(r.ids)) for r in kept["sentencepiece"])
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, id int, label int, _id int").write.parquet(f"{top}/none/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{top}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{top}/none").count() == 0

@@ -9,14 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from boxwright.llm import decontaminate, language, pieces, secrets, similar
-from boxwright.llm._spark import cut, shared_dir, table
-
-#: Number of a row within a stage; doc_id may repeat or be null.
-ROW = "_row"
-
+from boxwright.llm._spark import shared_dir, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language."""
@@ -28,18 +23,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A group is what op9's fingerprints or a similarity of 0.8 of 5-word shingles link.
     """
-    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    groups = similar.groups(rows.select(F.col(ROW).alias("id"), "text")).withColumnRenamed("id", ROW)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))
-    kept = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("group").agg(first.alias("r")).select(f"r.{ROW}")
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    return similar.keep_first(docs, stable=bool(docs.inputFiles()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    marks = decontaminate.mark(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    gone = marks.filter("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without any window of a benchmark item, each row judged by its own text."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,29 +1,33 @@
 """Language identification by Bayesian evidence fusion.
 
 The posterior of a language multiplies the likelihood of the text (hashed byte 4-grams), of the language that the row
-declares (markup or metadata), of its address (suffix or first path segment), and a prior of its host that is smoothed
-towards its domain's, and that towards the corpus's; the priors are grouped sums over all rows of what their texts
-say. An undetermined class has every 4-gram equally likely: it wins for texts in no known language.
+declares (markup or metadata), of its address (country suffix, or first path segment), and a prior of its host that is
+smoothed towards its domain's, and that towards the corpus's; the priors are grouped sums over all rows of what their
+texts say. An undetermined class has every 4-gram equally likely: it wins for texts in no known language.
 
-The likelihoods are fitted on about ``sample`` rows with a declared language, chosen by a hash, and more where a language
-would have under RARE of them. A language declared by LEAST_ROWS rows or more is a class; of fewer, none.
+Declared codes count by their primary subtag of two or three letters in lower case ("fr-FR" is fr). Every code that a
+row with text declares is a class. The likelihoods are fitted on about ``sample`` rows with a declared language, chosen
+by a hash of distinct texts, and on more where a language would have under RARE of them; a language with fewer rows is fitted on all.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwright.llm import _text as T
+from boxwright.llm._spark import cut
 
 BITS, SAMPLE, N = 14, 8_000, 4
-#: Share of independent evidence in overlapping 4-grams, and the most that a text may count.
-TEMPER, MOST = 0.25, 120
+#: Share of independent evidence in overlapping 4-grams.
+TEMPER = 0.25
 DECLARED, ADDRESS, STRENGTH, CONFIDENT, UNDETERMINED = 0.9, 0.8, 20.0, 0.5, 0.005
-BROADCAST_ROWS = 200_000
-LEAST_ROWS, RARE = 5, 200
+BROADCAST_BYTES, RARE = 64 << 20, 200
+#: Parts that a host's rows are dealt to where the priors are too large to broadcast.
+SALTS = 32
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
@@ -49,39 +53,48 @@ def _grams(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def code(declared: Column) -> Column:
+    """The primary subtag of a declared language, in lower case; null for other strings."""
+    found = F.lower(F.regexp_extract(F.trim(declared.cast("string")), r"^([A-Za-z]{2,3})(?:$|[-_])", 1))
+    return F.when(found != "", found)
+
+
 def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and the log-likelihood of each feature (and of none) for each, last the undetermined class.
 
-    ``rows`` has text and declared.
+    ``rows`` has text and declared. Codes are of three letters at most, so what the driver gets is bounded: a count for
+    each code, and then compressed counts of its features.
     """
-    known = rows.filter("declared IS NOT NULL AND text IS NOT NULL").select("declared", F.col("text").alias("text"))
-    n = {r.declared: r["count"] for r in known.groupBy("declared").count().filter(F.col("count") >= LEAST_ROWS).collect()}
+    known = rows.filter("text IS NOT NULL").select(code(F.col("declared")).alias("declared"), "text").filter("declared IS NOT NULL")
+    n = {r.declared: r["count"] for r in known.groupBy("declared").count().collect()}
     if not n:
         return [], np.full((1, _SIZE + 1), -np.log(_SIZE) - 0.2, np.float32)
     share = sample / sum(n.values())
     span = 1 << 30
     # by language, so that the rare are fitted too
     bound = known.sparkSession.createDataFrame([(k, int(span * min(1.0, max(share, RARE / x)))) for k, x in n.items()], "declared string, bound long")
-    known = known.join(F.broadcast(bound), "declared").filter(F.pmod(F.xxhash64("text"), F.lit(span)) < F.col("bound")).select("declared", "text")
+    known = known.join(F.broadcast(bound), "declared").filter(F.pmod(F.xxhash64("text"), F.lit(span)) < F.col("bound")).select("declared", "text").distinct()
+
+    def packed(x: np.ndarray) -> bytes:
+        return zstandard.compress(x.astype("<f4").tobytes(), 1)
 
     def count(batches):
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             names = batch.column("declared").to_pylist()
-            langs = sorted(set(names))
-            code = np.array([langs.index(x) for x in names])
-            total = np.zeros((len(langs), _SIZE + 1))
             for lo, hi, buf, offsets in T.slices(batch.column("text")):
                 g = _grams(buf, offsets)
                 for k in range(hi - lo):
                     x = np.bincount(g[offsets[k] : offsets[k + 1]], minlength=_SIZE + 1)
-                    total[code[lo + k]] += np.minimum(x, 20)  # one text's repeats don't rule
-            yield pa.record_batch([pa.array(langs, pa.string()), pa.array([x.astype("<f8").tobytes() for x in total], pa.binary())], names=["lang", "n"])
+                    # a root of the count: one text's repeats don't rule
+                    total[names[lo + k]] = total.get(names[lo + k], 0) + np.sqrt(x)
+        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([packed(x) for x in total.values()], pa.binary())], names=["lang", "n"])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.table({"lang": [key[0].as_py()], "n": [sum(np.frombuffer(x, "<f8") for x in table["n"].to_pylist()).astype("<f8").tobytes()]})
+        # in a fixed order, so that sums of floats don't depend on who came first
+        return pa.table({"lang": [key[0].as_py()], "n": [packed(sum(np.frombuffer(zstandard.decompress(x), "<f4").astype(np.float64) for x in sorted(table["n"].to_pylist())))]})
 
-    # a declared language is a code of a fixed list, so rows are few
-    got = sorted((r.lang, np.frombuffer(r.n, "<f8")) for r in known.mapInArrow(count, "lang string, n binary").groupBy("lang").applyInArrow(add, "lang string, n binary").collect())
+    got = sorted((r.lang, np.frombuffer(zstandard.decompress(r.n), "<f4").astype(np.float64)) for r in known.mapInArrow(count, "lang string, n binary").groupBy("lang").applyInArrow(add, "lang string, n binary").collect())
     got = [(k, x) for k, x in got if x[:-1].sum() > 0]
     w = np.zeros((len(got) + 1, _SIZE + 1), np.float32)
     for i, (_, x) in enumerate(got):
@@ -98,7 +111,7 @@ def evidence(rows: DataFrame, weights: np.ndarray) -> DataFrame:
         w = sent.value
         for batch in batches:
             out = np.zeros((batch.num_rows, len(w)))
-            n, letters = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
+            letters = np.zeros(batch.num_rows, bool)
             for lo, hi, buf, offsets in T.slices(batch.column("text")):
                 if not len(buf):
                     continue
@@ -106,11 +119,9 @@ def evidence(rows: DataFrame, weights: np.ndarray) -> DataFrame:
                 full = np.flatnonzero(offsets[1:] > offsets[:-1])
                 at = offsets[:-1][full]
                 letters[lo + full] = np.maximum.reduceat(_FOLD[buf] != 32, at)
-                n[lo + full] = np.add.reduceat((g < _SIZE).astype(np.int32), at)
                 for k in range(len(w)):
                     out[lo + full, k] = np.add.reduceat(w[k][g].astype(np.float64), at)
-            mean = out / np.maximum(n, 1)[:, None] * (np.minimum(n, MOST / TEMPER) * TEMPER)[:, None]
-            ll = pa.array([x.tolist() if m else None for x, m in zip(mean, letters)], pa.list_(pa.float64()))
+            ll = pa.array([x.tolist() if m else None for x, m in zip(TEMPER * out, letters)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ll], names=[*batch.schema.names, "ll"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", ll array<double>"
@@ -130,7 +141,8 @@ def priors(rows: DataFrame, langs: list[str], strength: float = STRENGTH) -> Dat
     k = len(langs)
     best = F.array_position(F.slice("ll", 1, k), F.array_max(F.slice("ll", 1, k)))
     counts = rows.filter("host IS NOT NULL AND ll IS NOT NULL").withColumn("b", best).groupBy("host").agg(*[F.sum((F.col("b") == i + 1).cast("double")).alias(f"n{i}") for i in range(k)])
-    counts = counts.withColumn("domain", _domain(F.col("host")))
+    # one row a host: texts are read once for it, whatever follows
+    counts = cut(counts).withColumn("domain", _domain(F.col("host")))
     by = counts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(k)])
     total = by.agg(*[F.sum(f"d{i}").alias(f"t{i}") for i in range(k)]).first()
     t = [float(x or 0) for x in total] if total else [0.0] * k
@@ -147,19 +159,24 @@ def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     ``rows`` has text, declared, host and address (a language code found in the address), any of them null. A row is
     rejected if it has no letters to judge, if undetermined is likeliest, or if no language has a posterior of
-    CONFIDENT; lang_id is then null. Ties go to the first code. No rows give none; further columns are carried.
+    CONFIDENT; lang_id is then null. Ties go to the first code. No rows give none; repeated rows are alike; further
+    columns are carried. Texts are read three times: for the fit's sample, for the priors, and for the result.
     """
     langs, weights = fit(rows, sample)
     k = len(langs)
     if not k:
         return rows.withColumns({"lang_id": F.lit(None).cast("string"), "confidence": F.lit(0.0), "rejected": F.lit(True)})
-    narrow = evidence(rows.select(F.col("text"), F.col("host")), weights).select("host", "ll")
-    prior = priors(narrow, langs)
-    few = prior.count() <= BROADCAST_ROWS
-    scored = evidence(rows, weights).join(F.broadcast(prior) if few else prior, "host", "left")
+    prior = priors(evidence(rows.select("text", "host"), weights).select("host", "ll"), langs)
+    size = prior.agg(F.sum(F.octet_length("host") + 8 * k + 64)).first()[0] or 0
+    scored = evidence(rows, weights)
+    if size <= BROADCAST_BYTES:
+        scored = scored.join(F.broadcast(prior), "host", "left")
+    else:  # a host's rows are dealt to several tasks
+        prior = prior.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        scored = scored.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(prior, ["host", "_salt"], "left")
 
     def told(name: str, lang: str, sure: float) -> Column:
-        c = F.lower(F.substring(F.col(name), 1, 2))
+        c = code(F.col(name))
         return F.when(c.isNull() | ~c.isin(langs), 0.0).when(c == lang, float(np.log(sure))).otherwise(float(np.log((1 - sure) / max(1, k - 1))))
 
     logs = [F.col("ll")[i] + F.log(F.coalesce(F.col("prior")[i], F.lit(1.0 / k))) + told("declared", x, DECLARED) + told("address", x, ADDRESS) for i, x in enumerate(langs)]
@@ -174,8 +191,10 @@ def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def document_rows(docs: DataFrame, *carry: str) -> DataFrame:
-    """Evidence of a document: its text, lang as declared, source as host."""
-    return docs.select(*carry, F.col("text").cast("string").alias("text"), F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("address"))
+    """Evidence of a document: its text, lang as declared, source as host, and the country suffix where that has one."""
+    host = F.col("source").cast("string")
+    suffix = F.regexp_extract(F.lower(host), r"\.([a-z]{2})$", 1)
+    return docs.select(*carry, F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("declared"), host.alias("host"), F.when(suffix != "", suffix).alias("address"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -185,7 +204,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z]+://([^/?#:]+)", 1))
     path = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z]+://[^/]+/([A-Za-z]{2})(?:[/?#]|$)", 1))
     suffix = F.regexp_extract(host, r"\.([a-z]{2})$", 1)
-    declared = F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2})", 1)
+    declared = F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z_-]{2,})", 1)
     blank = lambda c: F.when(c != "", c)
     return pages.select("page_id", "url", bare.alias("text"), blank(declared).alias("declared"), blank(host).alias("host"), F.coalesce(blank(path), blank(suffix)).alias("address"))
 

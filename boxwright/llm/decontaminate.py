@@ -35,13 +35,13 @@ def _key(at: Column, list_: Column, n: int) -> Column:
     return F.xxhash64(F.lit(n), *(F.get(list_, at + F.lit(i)) for i in range(n)))
 
 
-def windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(text key and words of each distinct window, text key and item_id): items of equal words are one text."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0).withColumn("t", F.md5(F.array_join("w", " ")))
-    texts = items.groupBy("t").agg(F.first("w").alias("w"))
+def windows(benchmark: DataFrame) -> DataFrame:
+    """t, window and items: each distinct window of each distinct text of words, with the item_ids of that text as strings."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0).withColumn("t", F.md5(F.array_join("w", " ")))
+    texts = items.groupBy("t").agg(F.first("w").alias("w"), F.sort_array(F.collect_set("item")).alias("items"))
     n = F.size("w")
-    cuts = texts.select("t", F.explode(F.when(n <= WINDOW, F.array("w")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), lambda i: F.slice("w", i, WINDOW)))).alias("window"))
-    return cuts.distinct(), items.filter("item_id IS NOT NULL").select("t", "item_id").distinct()
+    cuts = F.when(n <= WINDOW, F.array("w")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), lambda i: F.slice("w", i, WINDOW)))
+    return texts.select("t", F.explode(F.array_distinct(cuts)).alias("window"), "items")
 
 
 def _positions(rows: DataFrame, sizes: list[int]) -> DataFrame:
@@ -59,49 +59,63 @@ def mark(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST
     words but has no name. Null and empty texts, an empty benchmark and empty tables give no hits; other columns are
     ignored.
     """
-    cuts, names = windows(benchmark)
-    cuts = cut(cuts)
-    size = cuts.agg(F.sum(F.length(F.array_join("window", " ")) + 64).alias("b"), F.collect_set(F.least(F.size("window"), F.lit(SHINGLE))).alias("s")).first()
+    cuts = cut(windows(benchmark))
+    held = F.length(F.array_join("window", " ")) + F.length(F.array_join("items", ",")) + 24 * F.size("items") + 128
+    size = cuts.agg(F.sum(held).alias("b"), F.collect_set(F.least(F.size("window"), F.lit(SHINGLE))).alias("s")).first()
     small = (size.b or 0) <= broadcast_bytes
-    hint = F.broadcast if small else (lambda df: df)
     sizes = sorted(size.s, reverse=True) or [SHINGLE]
+    # a row's number is made once, in the one pass that uses it, or lies in the shared folder
     rows = docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
     if not small:
         rows = cut(rows)
     n = F.least(F.size("window"), F.lit(SHINGLE))
-    spread = cuts.select("t", "window", F.explode(F.sequence(F.lit(0), F.size("window") - n)).alias("offset"))
+    spread = cuts.select("t", "window", "items", F.explode(F.sequence(F.lit(0), F.size("window") - n)).alias("offset"))
     key = F.lit(None).cast("long")
     for s in sizes:
         key = F.when(F.least(F.size("window"), F.lit(SHINGLE)) == s, _key(F.col("offset"), F.col("window"), s)).otherwise(key)
     spread = spread.withColumn("key", key)
-    often = _positions(rows.select("w"), sizes).select("key").join(hint(spread.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("n"))
-    rarest = spread.join(often, "key", "left").groupBy("t", "window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "key")).alias("p"))
-    prefix = cut(rarest.select("t", "window", F.col("p.offset").alias("offset"), F.col("p.key").alias("key")))
+    keys, every = spread.select("key").distinct(), _positions(rows.select("w"), sizes).select("key")
+    if small:
+        often = every.join(F.broadcast(keys), "key").groupBy("key").agg(F.count("*").alias("n"))
+    else:  # counted before they meet the keys, so that a frequent shingle is a row a task
+        often = every.groupBy("key").agg(F.count("*").alias("n")).join(keys, "key")
+    first = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "key")).alias("p")
+    rarest = spread.join(often, "key", "left").groupBy("t", "window", "items").agg(first)
+    prefix = cut(rarest.select("window", "items", F.col("p.offset").alias("offset"), F.col("p.key").alias("key")))
     start, length = F.col("pos") - F.col("offset"), F.size("window")
     fits = (start >= 0) & (start + length <= F.size("w"))
     same = F.slice("w", F.greatest(start, F.lit(0)) + 1, length) == F.col("window")
-    hit = F.struct(start.alias("a"), (start + length).alias("b"))
+    hit = F.when(F.col("window").isNotNull(), F.struct(start.alias("a"), (start + length).alias("b"))).alias("hit")
+    n_words = F.greatest(F.size("w"), F.lit(0)).alias("n")
     if small:
         p = F.broadcast(prefix.withColumnRenamed("key", "k"))
         met = _positions(rows, sizes).join(p, (F.col("key") == F.col("k")) & fits & same, "left")
-        met = met.filter(F.col("t").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
-        met = met.select("doc_id", "row", F.greatest(F.size("w"), F.lit(0)).alias("n"), F.when(F.col("t").isNotNull(), hit).alias("hit"), "t")
+        met = met.filter(F.col("window").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0)).select("doc_id", "row", n_words, hit, "items")
     else:
         near = _positions(rows.select("row", "w"), sizes).select("row", "pos", "key").join(prefix, "key").filter(start >= 0)
-        met = rows.join(near.select("row", "pos", "t", "window", "offset"), "row", "left").filter(F.col("t").isNull() | (fits & same))
-        met = met.select("doc_id", "row", F.greatest(F.size("w"), F.lit(0)).alias("n"), F.when(F.col("t").isNotNull(), hit).alias("hit"), "t")
-        met = met.unionByName(rows.select("doc_id", "row", F.greatest(F.size("w"), F.lit(0)).alias("n"), F.lit(None).cast("struct<a:int,b:int>").alias("hit"), F.lit(None).cast("string").alias("t")))
-    one = met.groupBy("doc_id", "row").agg(F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_set("hit")).alias("hits"), F.collect_set("t").alias("ts"))
+        met = rows.join(near.select("row", "pos", "window", "items", "offset"), "row").filter(fits & same).select("doc_id", "row", n_words, hit, "items")
+        none = F.lit(None).cast("struct<a:int,b:int>").alias("hit"), F.lit(None).cast("array<string>").alias("items")
+        met = met.unionByName(rows.select("doc_id", "row", n_words, *none))
+    one = met.groupBy("doc_id", "row").agg(F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_set("hit")).alias("hits"), F.collect_set("items").alias("items"))
     covered = F.aggregate(
         "hits",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda s, h: F.struct((s["n"] + F.greatest(h["b"] - F.greatest(h["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], h["b"]).alias("end")),
         lambda s: s["n"].cast("long"),
     )
-    one = one.select("doc_id", "row", "n_words", covered.alias("n_hit"), "ts")
-    named = one.filter(F.size("ts") > 0).select("row", F.explode("ts").alias("t")).join(names, "t").groupBy("row").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    items = F.sort_array(F.coalesce("items", F.array().cast("array<string>")))
-    return one.join(named, "row", "left").select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    one = one.select("doc_id", "n_words", covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
+    return one.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without any window of a benchmark item, each judged by its own text; columns as they are."""
+    # doc_id may be null or repeat with other texts, and a text may repeat with other ids: both make the key
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha1(text.cast("binary")))
+    gone = mark(docs.select(key.alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    names = docs.columns
+    marked = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    return marked.join(gone, "_key", "left_anti").select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE_1, BASE_2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+#: Masks of a block's first 0 to 8 bytes.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 STEP_1, STEP_2 = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
 
@@ -77,16 +79,25 @@ def _bytes_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, pos, pos + np.repeat(starts, lens)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, *bases: np.uint64) -> list[np.ndarray]:
-    """A 64-bit hash of each word's bytes for each base."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, *keys: np.uint64) -> list[np.ndarray]:
+    """A 64-bit hash of each word's bytes for each key.
+
+    A word's blocks of eight bytes are mixed with the key and their place, and summed. Words of up to eight bytes don't
+    collide; longer ones that do can't be found without the key.
+    """
     if not len(starts):
-        return [np.empty(0, U64) for _ in bases]
-    first, pos, at = _bytes_of(starts, ends)
-    code, longest = buf[at].astype(U64) + U64(1), int((ends - starts).max())
+        return [np.empty(0, U64) for _ in keys]
+    lens = ends - starts
+    blocks = (lens + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    raw = np.lib.stride_tricks.sliding_window_view(padded, 8)[np.repeat(starts, blocks) + 8 * place]
+    code = np.ascontiguousarray(raw).view("<u8").ravel() & _KEEP[np.minimum(np.repeat(lens, blocks) - 8 * place, 8)]
     out = []
-    for base in bases:
-        power = np.cumprod(np.concatenate([[U64(1)], np.full(longest - 1, base)]).astype(U64))
-        out.append(mix(np.add.reduceat(code * power[pos], first) + (ends - starts).astype(U64)))
+    for key in keys:
+        salt = mix(np.arange(1, int(place.max()) + 2, dtype=U64) * BASE_1 + key)
+        out.append(mix(np.add.reduceat(mix(code ^ salt[place]), first) + lens.astype(U64)))
     return out
 
 

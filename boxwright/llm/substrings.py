@@ -8,12 +8,14 @@ cover the words of all later windows, which joins them to maximal exact repeats.
 Documents are dealt once, by a hash of doc_id, into groups of bounded text; Spark reuses that exchange. What crosses
 the other shuffles are packed arrays, one entry for each distinct hash of a group: a passage that a third of all rows
 hold counts once a group, no pair is ever made, and answers go back to groups, not to rows. Probes are filtered by
-about 32 bits above the bucket's; windows are compared by 96 bits.
+about 32 bits above the bucket's; windows are compared by 96 bits of two hashes of their words' bytes, under keys drawn
+for each run, so that no text can be written to deceive them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,11 @@ def _ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table["doc_id"].null_count == 0 else pa.concat_tables([table.filter(table["doc_id"].is_null()), table.filter(table["doc_id"].is_valid()).sort_by([("doc_id", "ascending"), ("text", "ascending")])])
 
 
-def _runs(table: pa.Table, bases: tuple) -> list:
+def _runs(table: pa.Table, keys: tuple):
     """(first row, offsets, bytes, starts, ends, first words, hashes) for each slice of the table."""
     for lo, hi, buf, offsets in T.slices(table["text"]):
         starts, ends, first = T.words(buf, offsets)
-        yield lo, hi, buf, starts, ends, first, T.word_hashes(buf, starts, ends, *bases)
+        yield lo, hi, buf, starts, ends, first, T.word_hashes(buf, starts, ends, *keys)
 
 
 def _packed(key, bucket: np.ndarray, *columns: np.ndarray) -> pa.Table:
@@ -67,21 +69,23 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame
 
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by a space) and spans, the maximal
     removed runs as [first word, word after the last]. Null and empty texts have no words and the digest of the empty
-    text. A null doc_id counts as earliest; rows of equal doc_id are ordered by text and each gets a row. An empty
+    text. A null doc_id counts as earliest; rows of equal doc_id are ordered by a hash of their text, then by text, and
+    each gets a row; they are dealt by both, so that many rows of one doc_id, or of none, aren't one group. An empty
     table gives an empty one; other columns are ignored.
     """
+    one_key, two_key = (U64(secrets.randbits(64)) for _ in range(2))
     spark = docs.sparkSession
     size = text_bytes(docs)
     parts = shuffle_partitions(spark)
     groups = max(parts, -(-size // group_bytes))
     bits = max(3, int(np.ceil(np.log2(groups))))
     low = U64(32 - min(bits, 31))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")).repartition(groups, "g")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g")).repartition(groups, "g")
 
     def probe(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Distinct 10-word windows of the group; flags: 1 occurs twice, 2 is a block."""
         hashes, blocks = [], []
-        for *_, starts, _, first, (h,) in _runs(table, (T.BASE_1,)):
+        for *_, starts, _, first, (h,) in _runs(table, (one_key,)):
             ok = T.whole(first, len(h), BLOCK)
             if ok.any():
                 own = np.repeat(first[:-1], np.diff(first))
@@ -124,7 +128,7 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame
         one, two, doc = [], [], []
         table = _ordered(table)
         ids = table["doc_id"].fill_null(-(1 << 63)).to_numpy()
-        for lo, *_, first, (h, h2) in _runs(table, (T.BASE_1, T.BASE_2)) if len(known) else ():
+        for lo, *_, first, (h, h2) in _runs(table, (one_key, two_key)) if len(known) else ():
             ok = T.whole(first, len(h), WINDOW)
             if ok.any():
                 mark = _found(known, T.windows(h, BLOCK, T.STEP_1) >> low)
@@ -148,12 +152,14 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame
         """For each group its windows that occur earlier in another (1), or first but again in itself (2)."""
         one, two, doc, again = (_cat(table, f"c{i}", k) for i, k in enumerate(("<u8", "<u4", "<i8", "u1")))
         sizes = np.array([len(x) // 8 for x in table["c0"].to_pylist()], np.int64)
-        order = np.lexsort((two, one))
-        a, b, d = one[order], two[order], doc[order]
+        # of one doc_id, the group decides
+        dealt = np.repeat(table["g"].to_numpy(), sizes)
+        order = np.lexsort((dealt, doc, two, one))
+        a, b = one[order], two[order]
         at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        least = np.repeat(np.minimum.reduceat(d, at), np.diff(np.r_[at, len(a)]))
-        code = np.empty(len(one), np.uint8)
-        code[order] = np.where(d > least, 1, 2 * again[order])
+        head = np.zeros(len(one), bool)
+        head[order[at]] = True
+        code = np.where(head, 2 * again, 1).astype(np.uint8)
         ends, out = np.cumsum(sizes), []
         for e, m in zip(ends, sizes):
             k = code[e - m : e] > 0
@@ -170,7 +176,7 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame
         seen = np.zeros(len(one), bool)
         table = _ordered(table)
         ids, n_words, n_removed, digests, spans = table["doc_id"], [], [], [], []
-        for lo, hi, buf, starts, ends, first, (h, h2) in _runs(table, (T.BASE_1, T.BASE_2)):
+        for lo, hi, buf, starts, ends, first, (h, h2) in _runs(table, (one_key, two_key)):
             gone = np.zeros(len(h), bool)
             ok = T.whole(first, len(h), WINDOW)
             if ok.any() and len(one):

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm._spark import shared_dir
+from boxwright.llm._spark import cut, shared_dir
 
-LEAST, CHUNK = 1000, 8 << 20
+LEAST, CHUNK, BROADCAST_BYTES, SALTS = 1000, 8 << 20, 64 << 20, 32
+#: The most that a member may inflate to: more doesn't fit a cell, and would be a bomb to the task.
+MOST = (1 << 31) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NULL_ID = "<urn:uuid:ffffffff-ffff-8fff-8f0f-ffffffffffff>"
 
@@ -59,17 +61,23 @@ def record(page_id, url, payload: bytes, size: int, digest: str, refers_to, revi
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
+def write(pages: DataFrame, path: str, least: int = LEAST, broadcast_bytes: int = BROADCAST_BYTES) -> None:
     """A record for each row of ``pages`` (page_id, url, html; null html is empty).
 
     Of the rows with equal payloads of ``least`` bytes or more, that with the largest page_id (each of them, where it
-    repeats) is a response and the others revisit it; all smaller ones, and rows of null page_id, are responses.
+    repeats) is a response and the others revisit it; all smaller ones, and rows of null page_id, are responses. No
+    rows give no records. Payloads aren't shuffled: the repeated digests come to them.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload"), "digest": F.sha1("payload")})
-    top = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(top, "digest", "left").withColumn("revisit", F.coalesce((F.col("size") >= least) & (F.col("page_id") < F.col("top")), F.lit(False)))
+    top = cut(rows.filter(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if 128 * top.count() <= broadcast_bytes:
+        rows = rows.join(F.broadcast(top), "digest", "left")
+    else:  # the rows of a digest are dealt to several tasks
+        top = top.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(top, ["digest", "salt"], "left")
+    rows = rows.withColumn("revisit", F.coalesce((F.col("size") >= least) & (F.col("page_id") < F.col("top")), F.lit(False)))
 
     def archive(batches):
         members, held = [], 0
@@ -90,51 +98,109 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     files.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).option("compression", "none").mode("errorifexists").text(path)
 
 
-def _plain(data: bytes, pos: int) -> tuple[dict, bytes, int]:
-    """Headers, block and end of the record at ``pos``, or ValueError."""
-    if not data.startswith(b"WARC/1.", pos):
+_MARK = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]")
+_VERSION = re.compile(rb"WARC/[0-9]\.[0-9]+\r\n")
+_ALGORITHMS = ("sha1", "sha256", "sha512", "md5")
+
+
+def _told(digest: str) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a labelled digest, in hexadecimal or base 32 of either case; None for others."""
+    name, _, value = digest.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in _ALGORITHMS:
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        if len(value) == 2 * size:
+            return name, bytes.fromhex(value)
+        value = value.rstrip("=").upper()
+        raw = base64.b32decode(value + "=" * (-len(value) % 8))
+    except ValueError:
+        return None
+    return (name, raw) if len(raw) == size else None
+
+
+def _same(digest: str, part: bytes) -> bool | None:
+    """Whether a labelled digest is that of ``part``; None if it can't be told."""
+    told = _told(digest)
+    return None if told is None else hashlib.new(told[0], part).digest() == told[1]
+
+
+def _headers(data: bytes, pos: int) -> tuple[dict, int]:
+    """Headers of the record at ``pos`` and the place of its block, or ValueError. A line that begins with a blank goes on the one before."""
+    m = _VERSION.match(data, pos)
+    if not m:
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", pos)
-    if end < 0 or end - pos > 1 << 16:
-        raise ValueError("no end of headers")
-    head = {}
-    for line in data[pos:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
+    head: dict[str, str] = {}
+    name, at = None, m.end()
+    while True:
+        end = data.find(b"\r\n", at)
+        if end < 0:
+            raise ValueError("no end of headers")
+        line = data[at:end]
+        at = end + 2
+        if not line:
+            return head, at
+        if line[:1] in b" \t" and name:
+            head[name] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        key, colon, value = line.partition(b":")
+        if not colon or not key.strip():
             raise ValueError("bad header")
-        head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not head.get("content-length", "").isdigit():
+        name = key.strip().lower().decode("latin-1")
+        head[name] = value.strip().decode("utf-8", "replace")
+
+
+def _payload(head: dict, block: bytes) -> bytes:
+    """What follows the headers of an HTTP message, or else the whole block."""
+    if head.get("content-type", "").lower().startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
+def _plain(data: bytes, pos: int) -> tuple[dict, bytes, int]:
+    """Headers, block and end of the record at ``pos``, or ValueError.
+
+    A block is damaged if its own digest differs. The payload's only counts where the block has none: what a payload
+    is, writers don't agree on.
+    """
+    head, at = _headers(data, pos)
+    if not re.fullmatch(r"[0-9]+", head.get("content-length", "")):
         raise ValueError("no length")
-    stop = end + 4 + int(head["content-length"])
+    stop = at + int(head["content-length"])
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("length doesn't end the record")
-    block = data[end + 4 : stop]
-    for name, part in (("warc-block-digest", block), ("warc-payload-digest", block.partition(b"\r\n\r\n")[2])):
-        told = head.get(name, "")
-        if told.startswith("sha1:") and not (name[5] == "p" and head.get("warc-type") == "revisit"):
-            if base64.b32encode(hashlib.sha1(part).digest()).decode() != told[5:]:
-                raise ValueError(f"{name} differs")
+    block = data[at:stop]
+    good = _same(head.get("warc-block-digest", ""), block)
+    if good is False:
+        raise ValueError("warc-block-digest differs")
+    if good is None and head.get("warc-type") != "revisit" and _same(head.get("warc-payload-digest", ""), _payload(head, block)) is False:
+        raise ValueError("warc-payload-digest differs")
     return head, block, stop + 4
 
 
 def _member(data: bytes, pos: int) -> tuple[bytes, int]:
     """The content and end of the gzip member at ``pos``, or ValueError."""
-    z, out, at = zlib.decompressobj(31), [], pos
+    z, out, at, size = zlib.decompressobj(31), [], pos, 0
     try:
         while not z.eof:
-            part = data[at : at + (1 << 14)]
-            if not part:
-                raise ValueError("member is cut")
-            out.append(z.decompress(part))
-            at += len(part)
+            part = z.unconsumed_tail or data[at : at + (1 << 14)]
+            if not z.unconsumed_tail:
+                if not part:
+                    raise ValueError("member is cut")
+                at += len(part)
+            out.append(z.decompress(part, 1 << 20))
+            size += len(out[-1])
+            if size > MOST:
+                raise ValueError("member inflates to too much")
     except zlib.error as e:
         raise ValueError(f"member: {e}") from None
     return b"".join(out), at - len(z.unused_data)
 
 
 def _next(data: bytes, pos: int) -> int:
-    found = [x for x in (data.find(b"\x1f\x8b\x08", pos), data.find(b"WARC/1.", pos)) if x >= 0]
-    return min(found, default=len(data))
+    m = _MARK.search(data, pos)
+    return m.start() if m else len(data)
 
 
 def salvage(data: bytes, base: int = 0) -> Iterator[tuple]:
@@ -193,12 +259,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     if kind == "gap":
                         out.append((kind, file.as_py(), first, after, head, None, None, None, None, None, None, None))
                     else:
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        again = head.get("warc-type") == "revisit"
+                        http, again = block.partition(b"\r\n\r\n")[0], head.get("warc-type") == "revisit"
+                        payload = _payload(head, block)
                         m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
                         size = (int(m[1]) if m else None) if again else len(payload)
-                        told = head.get("warc-payload-digest", "")
-                        sha1 = base64.b32decode(told[5:]).hex() if told.startswith("sha1:") else hashlib.sha1(payload).hexdigest()
+                        told = _told(head.get("warc-payload-digest", "")) if again else None
+                        sha1 = (told[1].hex() if told and told[0] == "sha1" else None) if again else hashlib.sha1(payload).hexdigest()
                         out.append((kind, file.as_py(), first, after, None, page_of(head.get("warc-record-id")), head.get("warc-target-uri"), head.get("warc-type"), size, sha1, page_of(head.get("warc-refers-to")) if again else None, None if again else payload))
                     if len(out) >= 2000:
                         yield pa.record_batch([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])

@@ -1,17 +1,19 @@
 r"""Secret scans: fixed patterns, and a token-efficiency test for other random strings.
 
 A string of 20 or more characters from a secret's alphabet is random if a public byte-level vocabulary needs a token
-for fewer than ``ratio`` characters: words and names compress, keys don't. Digests of known lengths, UUIDs, numbers
-and identifiers made of words are excluded first. Where a whole run isn't random, its parts between / = + _ - are
+for fewer than ``ratio`` characters: words and names compress, keys don't. Digests of known lengths, UUIDs and labelled
+digests ("sha256-...=") are cut out of a run first, numbers and identifiers made of words excluded. Where a whole run isn't random, its parts between / = + _ - are
 tested, adjacent random ones as one, so that a key behind a path is found.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,16 @@ _PART = re.compile(r"((?<![0-9A-Za-z])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\Z")
 #: Lengths in hexadecimal digits of CRC-64 doubled, MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGEST_SIZES = frozenset((32, 40, 56, 64, 96, 128))
+#: What is known for no secret, wherever it stands in a run: labelled digests in base 64, UUIDs, digests in hexadecimal.
+_KNOWN = re.compile(
+    r"(?<![0-9A-Za-z])(?:"
+    r"(?:md5-[A-Za-z0-9+/_-]{22}|sha1-[A-Za-z0-9+/_-]{27}|sha256-[A-Za-z0-9+/_-]{43}|sha384-[A-Za-z0-9+/_-]{64}|sha512-[A-Za-z0-9+/_-]{86})={0,2}"
+    r"|[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"
+    r"|(?:[0-9a-f]{128}|[0-9a-f]{96}|[0-9a-f]{64}|[0-9a-f]{56}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{128}|[0-9A-F]{96}|[0-9A-F]{64}|[0-9A-F]{56}|[0-9A-F]{40}|[0-9A-F]{32})"
+    r")(?![0-9A-Za-z])"
+)
+#: Characters that are encoded at once: the time of an encoding may grow with the square of a run's length.
+PIECE = 2048
 _NAME = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4})(?:[_/-]+(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4}))*\Z")
 
 
@@ -45,7 +57,7 @@ def encoding(vocabulary: bytes):
 
 
 def _dense(s: str, encode, ratio: float) -> bool:
-    return len(s) < ratio * len(encode(s))
+    return len(s) < ratio * sum(len(encode(s[a : a + PIECE])) for a in range(0, len(s), PIECE))
 
 
 def excluded(s: str, encode, ratio: float = RATIO) -> bool:
@@ -61,7 +73,8 @@ def excluded(s: str, encode, ratio: float = RATIO) -> bool:
     if not _NAME.match(s):
         return False
     long = [w.lower() if w.isupper() else w for w in re.findall(r"[A-Za-z]{4,}", s)]
-    return sum(map(len, long)) >= ratio * sum(len(encode(w)) for w in long)
+    tokens = sum(len(encode(w[a : a + PIECE])) for w in long for a in range(0, len(w), PIECE))
+    return sum(map(len, long)) >= ratio * tokens
 
 
 def _random(s: str, encode, ratio: float) -> Iterator[tuple[int, int]]:
@@ -98,12 +111,16 @@ def scan(text: str, encode, ratio: float = RATIO) -> Iterator[tuple[int, int, in
     if _HEX_LONG.search(text):
         found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text) if len(m[0]) >= 24]
     base = sorted(found)
+    reach = list(accumulate((e for _, e, _ in base), max))
     for m in _DENSE.finditer(text):
-        s = m[0].strip("-=_/+")
-        at = m.start() + m[0].index(s)
-        for a, b in _random(s, encode, ratio):
-            if not any(x < at + b and at + a < y for x, y, _ in base):
-                found.append((at + a, at + b, 3))
+        edge = [0, *(x for k in _KNOWN.finditer(m[0]) for x in k.span()), len(m[0])]
+        for x, y in zip(edge[::2], edge[1::2]):
+            s = m[0][x:y].strip("-=_/+")
+            at = m.start() + m[0].index(s, x)
+            for a, b in _random(s, encode, ratio):
+                i = bisect.bisect_left(base, (at + b,))  # those before it begin before the end
+                if not i or reach[i - 1] <= at + a:
+                    found.append((at + a, at + b, 3))
     return sorted(found)
 
 
@@ -147,15 +164,15 @@ def secrets(docs: DataFrame, vocabulary: str | None = None, ratio: float = RATIO
 
 
 def redact(docs: DataFrame, vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
-    """The same rows and columns, secrets replaced by a mark and n_chars counted anew where text changed."""
+    """The same rows and columns, secrets replaced by a mark and n_chars, where it is an integer, counted anew where text changed."""
+    counted = dict(docs.dtypes).get("n_chars") in ("int", "bigint")
     sent = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary))
-    names = docs.columns
 
     def run(batches):
         encode = encoding(sent.value).encode_ordinary
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            sizes = batch.column("n_chars").to_pylist() if "n_chars" in names else None
+            sizes = batch.column("n_chars").to_pylist() if counted else None
             for i, text in enumerate(texts):
                 spans = scan(text or "", encode, ratio)
                 if spans:

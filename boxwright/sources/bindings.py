@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,45 @@ def hsv_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 HSV_SQL = """hsv AS (SELECT vec_id AS image, label AS color, pos // 8 AS row, pos % 8 AS col, (label * 18 + k * 7 % 25) % 180 AS h,
   CASE label WHEN 0 THEN k * 11 % 90 ELSE k * 91 % 256 END AS s, CASE label WHEN 0 THEN k * 13 % 120 ELSE k * 53 % 256 END AS v
   FROM (SELECT vec_id, label, pos, vec_id * 64 + pos AS k FROM embeddings, range(0, 64) t(pos)))"""
+
+
+@dataclass(frozen=True)
+class ColorRange:
+    """Bounds of a colour and, where known, its mean hue and its mean a and b."""
+
+    name: str
+    low: tuple[int, int, int]
+    high: tuple[int, int, int]
+    lab_low: tuple[int, int, int]
+    lab_high: tuple[int, int, int]
+    hue: float | None = None
+    chroma: tuple[float, float] | None = None
+
+
+#: Colours of the decisions, in the order of their configuration.
+RANGES = [
+    ColorRange("Red", (0, 90, 60), (12, 255, 255), (20, 150, 130), (200, 220, 190), 4.0, (180.0, 160.0)),
+    ColorRange("Orange", (6, 90, 80), (24, 255, 255), (60, 140, 150), (220, 200, 215), 12.0, (165.0, 182.0)),
+    ColorRange("Yellow", (18, 60, 120), (38, 255, 255), (100, 110, 150), (250, 140, 230), 28.0),
+    ColorRange("Green", (60, 60, 20), (105, 255, 140), (20, 80, 110), (180, 125, 160), 85.0),
+    ColorRange("Black", (0, 0, 0), (180, 90, 90), (0, 110, 110), (90, 145, 145)),
+    ColorRange("DarkRed", (0, 60, 20), (10, 255, 120), (5, 140, 130), (110, 200, 180), 5.0, (170.0, 150.0)),
+    ColorRange("Blue", (100, 60, 40), (130, 255, 255), (20, 120, 60), (200, 160, 120)),
+]
+#: Kind of image: hue from and spread, saturation from and spread, value from and spread, a from, b from, colour in its name.
+KINDS = [(0, 25, 5, 40, 5, 60, 125, 125, "Black"), (20, 15, 90, 120, 160, 90, 115, 180, "Yellow"), (70, 30, 80, 150, 30, 70, 90, 125, "Green"), (0, 6, 140, 100, 90, 150, 175, 150, "Red"), (8, 9, 140, 100, 110, 140, 155, 178, "Orange"), (3, 11, 135, 100, 100, 150, 165, 165, "Orange"), (0, 180, 2, 25, 95, 120, 128, 128, None), (100, 30, 80, 150, 100, 100, 135, 75, "Blue"), (0, 100, 150, 90, 90, 120, 172, 155, "Green"), (0, 8, 65, 60, 40, 60, 150, 140, "Red"), (2, 12, 100, 120, 70, 150, 160, 152, "Yellow")]
+
+
+def color_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, expected, row, col, h, s, v, l, a, b: 16 by 16 images of four embeddings each, in the kinds above."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("image"), (F.col("vec_id") % 4).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
+    kind, k = F.col("image") % len(KINDS), (F.col("image") * 4 + F.col("q")) * 64 + F.col("pos")
+    at = lambda i: F.get(F.array(*[F.lit(x[i]) for x in KINDS]), kind.cast("int"))
+    row, col = F.floor(F.col("q") / 2) * 8 + F.floor(F.col("pos") / 8), F.col("q") % 2 * 8 + F.col("pos") % 8
+    return e.select("image", at(8).alias("expected"), row.cast("int").alias("row"), col.cast("int").alias("col"), ((at(0) + k * 7 % at(1)) % 180).alias("h"), (at(2) + k * 91 % at(3)).alias("s"), (at(4) + k * 53 % at(5)).alias("v"), (k * 29 % 200).alias("l"), (at(6) + k * 13 % 30).alias("a"), (at(7) + k * 17 % 30).alias("b"))
+
+
+_AT = lambda i: f"[{', '.join('NULL' if x[i] is None else repr(x[i]) for x in KINDS)}][image % {len(KINDS)} + 1]"
+COLOR_SQL = f"""cpx AS (SELECT image, {_AT(8)} AS expected, (q // 2 * 8 + pos // 8)::INT AS row, (q % 2 * 8 + pos % 8)::INT AS col, ({_AT(0)} + k * 7 % {_AT(1)}) % 180 AS h, {_AT(2)} + k * 91 % {_AT(3)} AS s,
+  {_AT(4)} + k * 53 % {_AT(5)} AS v, k * 29 % 200 AS l, {_AT(6)} + k * 13 % 30 AS a, {_AT(7)} + k * 17 % 30 AS b
+  FROM (SELECT vec_id // 4 AS image, vec_id % 4 AS q, pos, vec_id * 64 + pos AS k FROM embeddings, range(0, 64) t(pos)))"""

@@ -6,9 +6,9 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from boxwright.operators import colors, decisions, geometry, kernels, labels, lint, positions, reports
+from boxwright.operators import colors, decisions, geometry, instances, kernels, labels, lint, positions, reports
 
-_MODULES = (lint, geometry, positions, reports, colors, decisions, kernels, labels)
+_MODULES = (lint, geometry, positions, instances, reports, colors, decisions, kernels, labels)
 #: Double columns of each query.
 _DOUBLES = {
     "annotation_progress": "percent", "yolo_to_corners": "x1 y1 x2 y2", "corners_to_yolo": "x y w h", "letterbox_boxes": "x1 y1 x2 y2", "padded_resize_boxes": "x y w h", "automl_rows": "x_min y_min x_max y_max",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from boxwright.operators.reports import normal_model
 from boxwright.sources import bindings as B
 
-SIDE, MIN_AREA, DIFFERENCE = 8, 3, 60
+SIDE, MIN_AREA, DIFFERENCE, FAINT = 8, 3, 60, 10
 
 
 def ellipse(k: int) -> list[tuple[int, int]]:
@@ -63,10 +63,14 @@ def components(mask: DataFrame, side: int = SIDE) -> DataFrame:
     return mask.groupBy("image").applyInPandas(label, "image long, component int, pos int")
 
 
+def _differing(spark, sf, least: float):
+    m = F.broadcast(normal_model(spark, sf).select("pos", "mean"))  # one row a pixel of an image
+    return B.pixels(spark, sf).filter("image % 2 = 1").join(m, "pos").filter(F.abs(F.col("v") - F.col("mean")) >= least).select("image", "pos")
+
+
 def difference_mask(spark, sf):
     """Pixels of the test images that differ from the reference mean by DIFFERENCE."""
-    m = F.broadcast(normal_model(spark, sf).select("pos", "mean"))  # one row a pixel of an image
-    return B.pixels(spark, sf).filter("image % 2 = 1").join(m, "pos").filter(F.abs(F.col("v") - F.col("mean")) >= DIFFERENCE).select("image", "pos")
+    return _differing(spark, sf, DIFFERENCE)
 
 
 def mask_closed(spark, sf):
@@ -74,7 +78,8 @@ def mask_closed(spark, sf):
 
 
 def mask_opened(spark, sf):
-    return dilate(erode(difference_mask(spark, sf), 3), 3)
+    """Opening of the mask of a lower threshold, which has blocks to keep."""
+    return dilate(erode(_differing(spark, sf, FAINT), 3), 3)
 
 
 def anomaly_components(spark, sf):
@@ -137,7 +142,7 @@ _PLUS = _near_sql(True)
 _GRID = "grid AS (SELECT pos::INT AS pos, 1 + (pos // 8 > 0)::INT + (pos // 8 < 7)::INT + (pos % 8 > 0)::INT + (pos % 8 < 7)::INT AS n FROM range(0, 64) t(pos))"
 _dilated = lambda m: f"SELECT DISTINCT image, q.pos FROM {m} JOIN grid q ON {_PLUS.format(a=m)}"
 _eroded = lambda m: f"SELECT image, q.pos FROM {m} JOIN grid q ON {_PLUS.format(a=m)} GROUP BY image, q.pos, q.n HAVING count(*) = q.n"
-_M = f"{B.PX_SQL}, nm AS (SELECT pos, avg(v) AS mean FROM px WHERE image % 2 = 0 GROUP BY pos), {_GRID}, m AS (SELECT image, px.pos FROM px JOIN nm ON px.pos = nm.pos WHERE image % 2 = 1 AND abs(v - mean) >= {DIFFERENCE}), md AS ({_dilated('m')}), mc AS ({_eroded('md')}), me AS ({_eroded('m')}), mo AS ({_dilated('me')})"
+_M = f"{B.PX_SQL}, nm AS (SELECT pos, avg(v) AS mean FROM px WHERE image % 2 = 0 GROUP BY pos), {_GRID}, m AS (SELECT image, px.pos FROM px JOIN nm ON px.pos = nm.pos WHERE image % 2 = 1 AND abs(v - mean) >= {DIFFERENCE}), md AS ({_dilated('m')}), mc AS ({_eroded('md')}), f AS (SELECT image, px.pos FROM px JOIN nm ON px.pos = nm.pos WHERE image % 2 = 1 AND abs(v - mean) >= {FAINT}), me AS ({_eroded('f')}), mo AS ({_dilated('me')})"
 QUERIES = {f.__name__: f for f in (difference_mask, mask_closed, mask_opened, anomaly_components, cluster_boxes)}
 ORACLE = {
     "difference_mask": f"WITH {_M} SELECT * FROM m",

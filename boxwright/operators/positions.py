@@ -39,7 +39,7 @@ def unexpected_classes(spark, sf):
 
 def position_verdict(spark, sf):
     d = B.detections(spark, sf)
-    bad = results(d, B.expected(spark)).filter("class <> 'absent'").groupBy("image").agg(F.max((F.col("status") != "correct").cast("int")).alias("bad"))
+    bad = results(d, B.expected(spark)).groupBy("image").agg(F.max((F.col("status") != "correct").cast("int")).alias("bad"))
     odd = unexpected_classes(spark, sf).select("image").distinct().withColumn("odd", F.lit(1))
     return bad.join(odd, "image", "left").select("image", F.when((F.col("bad") == 1) | (F.col("odd") == 1), "FAIL").otherwise("PASS").alias("verdict"))
 
@@ -87,7 +87,7 @@ def greedy_match(spark, sf):
     return pairs.select("image", "class", "key", "exp_ord", "ord", "dist").groupBy("image", "class").applyInPandas(assign, "image string, key string, ord long, dist double")
 
 
-_D = f"WITH {B.DET_SQL}, {B.EXP_SQL}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, class ORDER BY conf DESC, ord) AS r FROM det) WHERE r = 1), res AS (SELECT i.image, ex.class, CASE WHEN b.ord IS NULL THEN 'missing' WHEN b.cx BETWEEN greatest(0, x1 - 32) AND least(640, x2 + 32) AND b.cy BETWEEN greatest(0, y1 - 32) AND least(640, y2 + 32) THEN 'correct' ELSE 'wrong' END AS status FROM (SELECT DISTINCT image FROM det) i CROSS JOIN ex LEFT JOIN best b ON b.image = i.image AND b.class = ex.class), odd AS (SELECT DISTINCT image, class FROM det WHERE class NOT IN (SELECT class FROM ex)), ver AS (SELECT image, CASE WHEN bool_or(status <> 'correct') OR image IN (SELECT image FROM odd) THEN 'FAIL' ELSE 'PASS' END AS verdict FROM res WHERE class <> 'absent' GROUP BY image), st AS (SELECT class, count(*) AS n, avg(cx) AS cx, avg(cy) AS cy, coalesce(stddev_samp(cx), 0) AS sigma_cx, coalesce(stddev_samp(cy), 0) AS sigma_cy, round_even(avg(cx - half), 0)::INT AS x1, round_even(avg(cx + half), 0)::INT AS x2 FROM det GROUP BY class) "
+_D = f"WITH {B.DET_SQL}, {B.EXP_SQL}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, class ORDER BY conf DESC, ord) AS r FROM det) WHERE r = 1), res AS (SELECT i.image, ex.class, CASE WHEN b.ord IS NULL THEN 'missing' WHEN b.cx BETWEEN greatest(0, x1 - 32) AND least(640, x2 + 32) AND b.cy BETWEEN greatest(0, y1 - 32) AND least(640, y2 + 32) THEN 'correct' ELSE 'wrong' END AS status FROM (SELECT DISTINCT image FROM det) i CROSS JOIN ex LEFT JOIN best b ON b.image = i.image AND b.class = ex.class), odd AS (SELECT DISTINCT image, class FROM det WHERE class NOT IN (SELECT class FROM ex)), ver AS (SELECT image, CASE WHEN bool_or(status <> 'correct') OR image IN (SELECT image FROM odd) THEN 'FAIL' ELSE 'PASS' END AS verdict FROM res GROUP BY image), st AS (SELECT class, count(*) AS n, avg(cx) AS cx, avg(cy) AS cy, coalesce(stddev_samp(cx), 0) AS sigma_cx, coalesce(stddev_samp(cy), 0) AS sigma_cy, round_even(avg(cx - half), 0)::INT AS x1, round_even(avg(cx + half), 0)::INT AS x2 FROM det GROUP BY class) "
 QUERIES = {f.__name__: f for f in (best_detection_per_class, position_results_single, unexpected_classes, position_verdict, position_status_counts, box_statistics, per_image_class_mode, auto_tolerance, greedy_match)}
 ORACLE = {
     "best_detection_per_class": _D + "SELECT image, class, ord, conf FROM best",

@@ -21,16 +21,43 @@ def anomaly_zmask(spark, sf):
     return B.pixels(spark, sf).filter("image % 2 = 1").join(m, "pos").filter((diff / (F.col("std") + 1e-6) >= 3) | (diff >= 70)).select("image", "pos")
 
 
+def ranked(rows, strata, key, order):
+    """``rows`` with k, the rank in its stratum by ``key`` (hexadecimal) and ``order``, and n, the size of the stratum.
+
+    Ranks are counted in 256 ranges of the key and shifted by what lies before, so a stratum isn't one task. Strata may
+    be null; there are few of them.
+    """
+    rows = rows.withColumns({"_h": key, "_b": F.substring(key, 1, 2)})
+    counts = rows.groupBy(*strata, "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*strata)
+    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in strata], F.col("_b").alias("_at"), F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(w).alias("n"))
+    same = F.col("_b") == F.col("_at")
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    k = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", order)) + F.col("_before")
+    return rows.join(counts, same).withColumn("k", k).drop("_h", "_b", "_at", "_before", *[f"_{c}" for c in strata])
+
+
 def stratified_split(spark, sf):
     """Train, val, test by rank in a stratum, ordered by a seeded hash; ratios .7, .15, .15."""
-    l = B.table(spark, sf, "labels")
-    w = Window.partitionBy("quality", "toxic")
-    k = F.row_number().over(w.orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":42"))), "doc_id"))
-    n = F.count("*").over(w)
-    at = l.select("doc_id", k.alias("k"), n.alias("n"))
+    at = ranked(B.table(spark, sf, "labels"), ["quality", "toxic"], F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":42"))), "doc_id")
     return at.select("doc_id", F.when(F.col("k") <= F.rint(F.col("n") * 0.7), "train").when(F.col("k") <= F.rint(F.col("n") * 0.85), "val").otherwise("test").alias("split"))
 
 
+def two_stage_split(spark, sf):
+    """A hold-out by rank in a stratum of quality, then val and test by rank of the held-out ones, in another seeded order.
+
+    Strata of fewer than two rows, or without a label, are one stratum: they can't be halved.
+    """
+    seeded = lambda seed: F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")))
+    at = ranked(B.table(spark, sf, "labels").select("doc_id", "quality", "toxic"), ["quality", "toxic"], seeded(1), "doc_id")
+    at = at.withColumn("stratum", F.when(F.col("n") >= 2, F.concat_ws("/", F.col("quality").cast("string"), F.col("toxic").cast("string")))).select("doc_id", "stratum")
+    first = ranked(at, ["stratum"], seeded(2), "doc_id").withColumn("held", F.col("k") > F.rint(F.col("n") * 0.7)).drop("k", "n")
+    second = ranked(first.filter("held"), ["stratum"], seeded(3), "doc_id")
+    held = second.select("doc_id", F.when(F.col("k") <= F.rint(F.col("n") * 0.5), "val").otherwise("test").alias("split"))
+    return first.filter("NOT held").select("doc_id", F.lit("train").alias("split")).unionByName(held)
+
+
 def split_counts(spark, sf):
     return stratified_split(spark, sf).groupBy("split").agg(F.count("*").alias("n"))
 
@@ -61,11 +88,21 @@ def next_version(spark, sf):
     return top.select("p_brand", F.concat_ws(".", F.col("v.a").cast("string"), F.col("v.b").cast("string"), (F.col("v.c") + 1).cast("string")).alias("version"))
 
 
+def fingerprints(listing, by):
+    """Digest of the files (path, length, modified in seconds) of each ``by``: the count, and sums of the digests of the files.
+
+    Sums don't need the files of a folder in one row; a folder that has none isn't there, see ``dir_fingerprint``.
+    """
+    d = F.md5(F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modified").cast("string")))
+    part = lambda i: F.sum(F.conv(F.substring(d, i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return listing.groupBy(by).agg(F.md5(F.concat_ws(":", F.count("*").cast("string"), part(1), part(17))).alias("digest"))
+
+
 def dir_fingerprint(spark, sf):
-    """MD5 over the ordered ids and sizes of each source."""
-    d = B.table(spark, sf, "documents")
-    rows = F.sort_array(F.collect_list(F.struct("doc_id", "n_chars")))
-    return d.groupBy("source").agg(F.md5(F.array_join(F.transform(rows, lambda r: F.concat(r["doc_id"].cast("string"), r["n_chars"].cast("string"))), "")).alias("digest"))
+    """Digest of the files of each source folder, empty for the folders that have none."""
+    d = B.table(spark, sf, "documents").select("source", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.col("n_chars").alias("length"), (F.col("doc_id") * 60).alias("modified"))
+    folders = spark.range(25).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"))
+    return folders.join(fingerprints(d, "source"), "source", "left").select("source", F.coalesce("digest", F.lit("empty")).alias("digest"))
 
 
 def freshness(spark, sf):
@@ -84,9 +121,9 @@ def epochs(lines):
 
 
 def epoch_log_parse(spark, sf):
-    """Box loss over the lines of discount and tax of at least 0.01, as its SQL has it; epoch_log_losses has all lines and losses."""
-    line = F.format_string("INFO %d/%d 1.2G %.3f %.3f %.3f", F.col("l_linenumber"), F.lit(9), F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"))
-    rows = B.table(spark, sf, "lineitem").filter("l_discount >= 0.01 AND l_tax >= 0.01").select(line.alias("line"))
+    """Lines and box loss of each epoch over all of lineitem."""
+    line = F.format_string("INFO %d/%d 1.2G %.3f %.3f %.3f", F.col("l_linenumber"), F.lit(9), F.abs("l_quantity"), F.abs("l_discount"), F.abs("l_tax"))
+    rows = B.table(spark, sf, "lineitem").select(line.alias("line"))
     return epochs(rows).groupBy("epoch", "total_epochs").agg(F.count("*").alias("n"), F.sum("box_loss").alias("box_loss"))
 
 
@@ -128,7 +165,7 @@ def expected_color_lookup(spark, sf):
 
 _N = f"WITH {B.PX_SQL}, nm AS (SELECT pos, avg(v) AS mean, sqrt(greatest(coalesce(var_samp(v), 0), 1)) AS std FROM px WHERE image % 2 = 0 GROUP BY pos), cs AS (SELECT image, count(*) AS n, avg(v) AS mean, min(v) AS min, max(v) AS max, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.9) AS p90 FROM px WHERE v >= 20 GROUP BY image) "
 _S = "WITH sp AS (SELECT doc_id, CASE WHEN k <= round_even(n * 0.7, 0) THEN 'train' WHEN k <= round_even(n * 0.85, 0) THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality, toxic ORDER BY md5(doc_id || ':42'), doc_id) AS k, (count(*) OVER (PARTITION BY quality, toxic))::DOUBLE AS n FROM labels)) "
-QUERIES = {f.__name__: f for f in (normal_model, anomaly_zmask, stratified_split, split_counts, seeded_sample, last_metrics, latest_run, next_version, dir_fingerprint, freshness, epoch_log_parse, epoch_log_losses, log_severity, color_channel_stats, color_running_stats, expected_color_lookup)}
+QUERIES = {f.__name__: f for f in (normal_model, anomaly_zmask, stratified_split, two_stage_split, split_counts, seeded_sample, last_metrics, latest_run, next_version, dir_fingerprint, freshness, epoch_log_parse, epoch_log_losses, log_severity, color_channel_stats, color_running_stats, expected_color_lookup)}
 ORACLE = {
     "normal_model": _N + "SELECT * FROM nm",
     "anomaly_zmask": _N + "SELECT image, px.pos FROM px JOIN nm ON px.pos = nm.pos WHERE image % 2 = 1 AND (abs(v - mean) / (std + 1e-6) >= 3 OR abs(v - mean) >= 70)",
@@ -138,9 +175,10 @@ ORACLE = {
     "last_metrics": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "latest_run": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1",
     "next_version": "SELECT p_brand, (m // 10000) || '.' || (m // 100 % 100) || '.' || (m % 100 + 1) AS version FROM (SELECT p_brand, max(p_size % 5 * 10000 + p_partkey % 7 * 100 + p_partkey % 11) AS m FROM part GROUP BY p_brand)",
-    "dir_fingerprint": "SELECT source, md5(string_agg(doc_id::VARCHAR || n_chars::VARCHAR, '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source",
+    "dir_fingerprint": "WITH d AS (SELECT source, md5(source || '/' || doc_id || '.txt|' || n_chars || '|' || doc_id * 60) AS m FROM documents), g AS (SELECT source, md5(count(*) || ':' || sum(('0x' || substr(m, 1, 15))::BIGINT::HUGEINT) || ':' || sum(('0x' || substr(m, 17, 15))::BIGINT::HUGEINT)) AS digest FROM d GROUP BY source) SELECT f.source, coalesce(digest, 'empty') AS digest FROM (SELECT 'src' || i AS source FROM range(25) t(i)) f LEFT JOIN g ON g.source = f.source",
+    "two_stage_split": "WITH a AS (SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY quality, toxic) >= 2 THEN concat_ws('/', quality, toxic) END AS stratum FROM labels), f AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(doc_id || ':2'), doc_id) > round_even((count(*) OVER (PARTITION BY stratum))::DOUBLE * 0.7, 0) AS held FROM a), s AS (SELECT doc_id, row_number() OVER (PARTITION BY stratum ORDER BY md5(doc_id || ':3'), doc_id) <= round_even((count(*) OVER (PARTITION BY stratum))::DOUBLE * 0.5, 0) AS val FROM f WHERE held) SELECT doc_id, 'train' AS split FROM f WHERE NOT held UNION ALL SELECT doc_id, CASE WHEN val THEN 'val' ELSE 'test' END FROM s",
     "freshness": "SELECT o_custkey, coalesce(max(o_orderdate) FILTER (o_orderstatus = 'F') >= max(o_orderdate) FILTER (o_orderstatus = 'O'), false) AS fresh FROM orders GROUP BY o_custkey",
-    "epoch_log_parse": "SELECT l_linenumber AS epoch, 9 AS total_epochs, count(*) AS n, sum(l_quantity) AS box_loss FROM lineitem WHERE l_discount >= 0.01 AND l_tax >= 0.01 GROUP BY 1",
+    "epoch_log_parse": "SELECT l_linenumber AS epoch, 9 AS total_epochs, count(*) AS n, sum(round(abs(l_quantity), 3)) AS box_loss FROM lineitem GROUP BY 1",
     "epoch_log_losses": "SELECT l_linenumber AS epoch, 9 AS total_epochs, count(*) AS n, sum(round(abs(l_quantity), 3)) AS box_loss, sum(round(abs(l_discount), 3)) AS cls_loss, sum(round(abs(l_tax), 3)) AS dfl_loss FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1",
     "log_severity": "SELECT CASE WHEN lower(text) LIKE '%error%' THEN 'error' WHEN lower(text) LIKE '%warning%' THEN 'warning' WHEN lower(text) LIKE '%success%' THEN 'success' WHEN lower(text) LIKE '%info%' THEN 'info' ELSE 'plain' END AS severity, count(*) AS n FROM conversations GROUP BY 1",
     "color_channel_stats": _N + "SELECT * FROM cs",

@@ -5,7 +5,8 @@ only if its shingle sets, compared in full, are similar enough. A pair at 0.8 sh
 probability of 0.0006; one above it, with less.
 
 A band shared by many is a list in which each text is compared with the WIDTHS before it, first with one, then with more
-unless both are in one group by then, so a large group of near copies isn't compared in pairs.
+unless both are in one group by then, so a large group of near copies isn't compared in pairs. Texts of a list that is
+longer and still of several groups are left to an exact join on the rarest shingles of each, so no pair is lost there.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from boxwright.llm._spark import cut
 
 WORDS, BANDS, ROWS = 5, 14, 4
 WIDTHS, BROADCAST_BYTES = (1, 32), 64 << 20
+#: Sets with one shingle that a task compares a set with.
+PARTNERS = 1024
 U64 = np.uint64
 _SEEDS = T.mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * T.BASE_2)
 
@@ -97,6 +100,33 @@ def candidates(sets: DataFrame, width: int) -> DataFrame:
     return fit.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).selectExpr("x.id AS a", "y.id AS b", "x.label AS la", "y.label AS lb").distinct()
 
 
+def crowded(sets: DataFrame, width: int) -> DataFrame:
+    """id, label and size of those of ``sets`` in a band of several labels that ``candidates`` doesn't compare in full."""
+    rows = sets.select("id", "label", "size", F.explode("bands").alias("key"))
+    lists = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return rows.join(lists.filter((F.col("n") > width + 1) & (F.col("lo") < F.col("hi"))), "key", "left_semi").select("id", "label", "size").distinct()
+
+
+def rare_pairs(docs: DataFrame, rest: DataFrame) -> DataFrame:
+    """Pairs of ``rest`` (id, label, size) of different labels that can have a similarity of 0.8: a, b, la, lb; none is left out.
+
+    Shingles are ordered by rarity among ``rest``. Of two sets that similar, the first size - ceil(0.8 size) + 1 have one in
+    common, and after the first that they share enough must follow in both. A frequent one is dealt to several tasks.
+    """
+    rows = cut(shingles(docs.join(rest.select("id"), "id", "left_semi")).select("id", F.explode("set").alias("token")))
+    often = rows.groupBy("token").count().filter("count > 1")  # one that no other set has makes no pair, but has its place
+    rows = rows.join(often, "token", "left").join(rest, "id")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("count", F.lit(1)), "token"))
+    rows = rows.withColumn("place", place).filter("place <= size - ceil(0.8BD * size) + 1 AND count IS NOT NULL")
+    parts = F.ceil(F.col("count") / PARTNERS).cast("int")
+    x = F.struct("id", "label", "size", "place")
+    left = rows.select("token", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), x.alias("x"))
+    right = rows.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), x.alias("y"))
+    fit = left.join(right, ["token", "part"]).filter("x.id < y.id AND x.label <> y.label AND 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
+    fit = fit.filter("9 * (1 + least(x.size - x.place, y.size - y.place)) >= 4 * (x.size + y.size)")
+    return fit.selectExpr("x.id AS a", "y.id AS b", "x.label AS la", "y.label AS lb").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` whose sets have a similarity of 0.8 or more: 9 times the common ones are 4 times the sum of the sizes."""
     used = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -116,9 +146,16 @@ def groups(docs: DataFrame) -> DataFrame:
     twins = sets.select("whole", "size", F.col("label").alias("a")).distinct().join(one.select("whole", "size", F.col("label").alias("b")), ["whole", "size"])
     links = cut(twins.filter("a <> b").select("a", "b").distinct())
     label = cut(simhash.components(links))
-    for width in WIDTHS:
+    for width in (*WIDTHS, None):
         now = one.join(label.select(F.col("id").alias("label"), "component"), "label", "left")
-        pairs = cut(candidates(now.select("id", F.coalesce("component", "label").alias("label"), "size", "bands"), width))
+        now = now.select("id", F.coalesce("component", "label").alias("label"), "size", "bands")
+        if width:
+            pairs = cut(candidates(now, width))
+        else:
+            rest = cut(crowded(now, WIDTHS[-1]))
+            if rest.isEmpty():
+                break
+            pairs = cut(rare_pairs(docs, rest))
         links = cut(links.union(verified(docs, pairs)).distinct())
         label = cut(simhash.components(links))
     return near.join(label.select(F.col("id").alias("label"), "component"), "label", "left").select("id", F.coalesce("component", "label").alias("group"))

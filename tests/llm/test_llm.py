@@ -639,6 +639,29 @@ def test_one_row_of_each_group_by_brute_force(spark, tmp_path):
         assert got.columns == d.columns and sorted(str(r.doc_id) for r in got.collect()) == sorted(expect)
 
 
+def test_crowded_bands_lose_no_pair(spark, monkeypatch):
+    """The join on rare shingles against all pairs, frequent shingles dealt to several tasks; and what counts as crowded."""
+    from boxwright.llm import similar
+
+    rng = random.Random(21)
+    parts = [[f"p{k}x{i}" for i in range(12)] for k in range(9)]
+    texts = [" ".join(["a b c d", *(w for p in sorted(rng.sample(range(9), rng.randrange(1, 9))) for w in parts[p])]) for _ in range(90)]
+    texts = sorted(set(texts)) + ["a b c d e", "a b c d", "one"]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    expect = {(a, b) for b in range(len(sets)) for a in range(b) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert len(expect) > 5
+    monkeypatch.setattr(similar, "PARTNERS", 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    rest = spark.createDataFrame([(k, k, len(s)) for k, s in enumerate(sets)], "id long, label long, size int")
+    got = {(r.la, r.lb) for r in similar.verified(df, similar.rare_pairs(df, rest)).collect()}
+    assert got == expect
+    same = rest.withColumn("label", F.lit(1).cast("long"))
+    assert similar.rare_pairs(df, same).isEmpty()
+    lists = spark.createDataFrame([(k, min(k, 2), 5, [7, k]) for k in range(4)] + [(9, 9, 5, [8, 5]), (10, 9, 5, [8, 6])], "id long, label long, size int, bands array<long>")
+    assert {r.id for r in similar.crowded(lists, 2).collect()} == {0, 1, 2, 3} and similar.crowded(lists, 3).isEmpty()
+    assert similar.crowded(lists.filter("id > 8"), 0).isEmpty()
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     """Each stage's rows on its own input, and run() as the last one's: nulls, empty texts, ties, repeated rows, an empty table."""
     import sys

@@ -4,9 +4,9 @@ A MinHash sketch of each text is cut into bands; texts that share a band are can
 only if its shingle sets, compared in full, are similar enough. A pair at 0.8 shares none of the bands with a
 probability of 0.0006; one above it, with less.
 
-A band shared by many is a list in which each text is compared with the WIDTHS before it, first with one, then with more
-unless both are in one group by then, so a large group of near copies isn't compared in pairs. Texts of a list that is
-longer and still of several groups are left to an exact join on the rarest shingles of each, so no pair is lost there.
+In the list of a shared band each text is first compared with the one before it, which makes large groups of near
+copies one. Texts of a list that then still is of several groups are compared by an exact join on the rarest shingles of
+each, so a large group isn't compared in pairs and no pair of a long list is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from boxwright.llm import simhash
 from boxwright.llm._spark import cut
 
 WORDS, BANDS, ROWS = 5, 14, 4
-WIDTHS, BROADCAST_BYTES = (1, 32), 64 << 20
+BROADCAST_BYTES = 64 << 20
 #: Sets with one shingle that a task compares a set with.
 PARTNERS = 1024
 U64 = np.uint64
@@ -90,17 +90,19 @@ def shingles(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, set array<long>")
 
 
-def candidates(sets: DataFrame, width: int) -> DataFrame:
+def candidates(sets: DataFrame, width: int = 1) -> DataFrame:
     """Pairs of ``sets`` (id, label, size, bands) of different labels and fitting sizes that share a band: a, b, la, lb."""
     rows = sets.select("id", "label", "size", "bands", F.posexplode("bands").alias("band", "key"))
     rows = rows.select("key", F.get("bands", (F.col("band") + 1) % BANDS).alias("next"), F.struct("id", "label", "size").alias("x"))
     w = Window.partitionBy("key").orderBy("next", "x").rowsBetween(-width, -1)
-    pairs = rows.select(F.col("x").alias("y"), F.collect_list("x").over(w).alias("before")).select("y", F.explode("before").alias("x"))
-    fit = pairs.filter("x.label <> y.label AND 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
+    lists = rows.select(F.col("x").alias("y"), F.collect_list("x").over(w).alias("before"))
+    # most texts of a long list are in one group by then: their pairs are never made
+    fit = lists.select("y", F.expr("filter(before, x -> x.label <> y.label AND 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size))").alias("fit"))
+    fit = fit.select("y", F.explode("fit").alias("x"))
     return fit.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).selectExpr("x.id AS a", "y.id AS b", "x.label AS la", "y.label AS lb").distinct()
 
 
-def crowded(sets: DataFrame, width: int) -> DataFrame:
+def crowded(sets: DataFrame, width: int = 1) -> DataFrame:
     """id, label and size of those of ``sets`` in a band of several labels that ``candidates`` doesn't compare in full."""
     rows = sets.select("id", "label", "size", F.explode("bands").alias("key"))
     lists = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -146,16 +148,14 @@ def groups(docs: DataFrame) -> DataFrame:
     twins = sets.select("whole", "size", F.col("label").alias("a")).distinct().join(one.select("whole", "size", F.col("label").alias("b")), ["whole", "size"])
     links = cut(twins.filter("a <> b").select("a", "b").distinct())
     label = cut(simhash.components(links))
-    for width in (*WIDTHS, None):
+    for exact in (False, True):
         now = one.join(label.select(F.col("id").alias("label"), "component"), "label", "left")
         now = now.select("id", F.coalesce("component", "label").alias("label"), "size", "bands")
-        if width:
-            pairs = cut(candidates(now, width))
-        else:
-            rest = cut(crowded(now, WIDTHS[-1]))
-            if rest.isEmpty():
-                break
+        if exact:
+            rest = cut(crowded(now))
             pairs = cut(rare_pairs(docs, rest))
+        else:
+            pairs = cut(candidates(now))
         links = cut(links.union(verified(docs, pairs)).distinct())
         label = cut(simhash.components(links))
     return near.join(label.select(F.col("id").alias("label"), "component"), "label", "left").select("id", F.coalesce("component", "label").alias("group"))

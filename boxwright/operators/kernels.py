@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwright.operators.reports import normal_model
+from boxwright.operators.reports import anomaly_zmask, normal_model
 from boxwright.sources import bindings as B
 
-SIDE, MIN_AREA, DIFFERENCE, FAINT = 8, 3, 60, 10
+SIDE, MIN_AREA, DIFFERENCE, FAINT, SIMPLE = 8, 3, 60, 10, 4
 
 
 def ellipse(k: int) -> list[tuple[int, int]]:
@@ -21,21 +21,26 @@ def ellipse(k: int) -> list[tuple[int, int]]:
     return [(y, x) for y in range(-r, r + 1) for x in range(-wide(y), wide(y) + 1)]
 
 
-def _moved(mask: DataFrame, k: int, side: int) -> DataFrame:
+def square(k: int) -> list[tuple[int, int]]:
+    """Offsets of a square kernel of odd size ``k``."""
+    return [(y, x) for y in range(-(k // 2), k // 2 + 1) for x in range(-(k // 2), k // 2 + 1)]
+
+
+def _moved(mask: DataFrame, k: int, side: int, kernel=ellipse) -> DataFrame:
     """Each set pixel at each offset inside the image."""
-    at = F.explode(F.array(*[F.struct((F.floor(F.col("pos") / side).cast("int") + y).alias("y"), (F.col("pos") % side + x).alias("x")) for y, x in ellipse(k)]))
+    at = F.explode(F.array(*[F.struct((F.floor(F.col("pos") / side).cast("int") + y).alias("y"), (F.col("pos") % side + x).alias("x")) for y, x in kernel(k)]))
     return mask.select("image", at.alias("p")).filter(F.col("p.y").between(0, side - 1) & F.col("p.x").between(0, side - 1)).select("image", (F.col("p.y") * side + F.col("p.x")).cast("int").alias("pos"))
 
 
-def dilate(mask: DataFrame, k: int, side: int = SIDE) -> DataFrame:
-    return _moved(mask, k, side).distinct()
+def dilate(mask: DataFrame, k: int, side: int = SIDE, kernel=ellipse) -> DataFrame:
+    return _moved(mask, k, side, kernel).distinct()
 
 
-def erode(mask: DataFrame, k: int, side: int = SIDE) -> DataFrame:
+def erode(mask: DataFrame, k: int, side: int = SIDE, kernel=ellipse) -> DataFrame:
     """Pixels whose neighbours inside the image are all set."""
     y, x = F.floor(F.col("pos") / side).cast("int"), F.col("pos") % side
-    inside = sum((((y + dy).between(0, side - 1)) & ((x + dx).between(0, side - 1))).cast("int") for dy, dx in ellipse(k))
-    return _moved(mask, k, side).groupBy("image", "pos").agg(F.count("*").alias("n")).filter(F.col("n") == inside).select("image", "pos")
+    inside = sum((((y + dy).between(0, side - 1)) & ((x + dx).between(0, side - 1))).cast("int") for dy, dx in kernel(k))
+    return _moved(mask, k, side, kernel).groupBy("image", "pos").agg(F.count("*").alias("n")).filter(F.col("n") == inside).select("image", "pos")
 
 
 def components(mask: DataFrame, side: int = SIDE) -> DataFrame:
@@ -87,6 +92,39 @@ def anomaly_components(spark, sf):
     return components(mask_closed(spark, sf)).groupBy("image", "component").agg(F.count("*").alias("area")).filter(F.col("area") >= MIN_AREA)
 
 
+def cleaned(raw: DataFrame, min_area: int, open_size: int = 3, close_size: int = 5, dilate_size: int = 0, side: int = SIDE) -> DataFrame:
+    """image, pos of a raw mask opened, closed, without components of under ``min_area`` pixels, and dilated; a size of 0 skips its step."""
+    m = raw
+    if open_size > 0:
+        m = dilate(erode(m, open_size, side), open_size, side)
+    if close_size > 0:
+        m = erode(dilate(m, close_size, side), close_size, side)
+    c = components(m, side)
+    large = c.groupBy("image", "component").agg(F.count("*").alias("area")).filter(F.col("area") >= min_area)
+    m = c.join(large, ["image", "component"], "left_semi").select("image", "pos")
+    return dilate(m, dilate_size, side) if dilate_size > 0 else m
+
+
+def anomaly_masks(spark, sf):
+    """The test images' masks: far from the normal model, closed, of MIN_AREA pixels or more, dilated."""
+    return cleaned(anomaly_zmask(spark, sf), MIN_AREA, 0, 3, 3)
+
+
+def mean_image(pixels: DataFrame) -> DataFrame:
+    """pos and the mean of each pixel, held in 0..255 and cut to whole numbers."""
+    return pixels.groupBy("pos").agg(F.greatest(F.lit(0), F.least(F.lit(255), F.avg("v"))).cast("int").alias("mean"))
+
+
+def simple_masks(spark, sf):
+    """Pixels of the test images that differ from the mean image by more than SIMPLE, opened and closed by a square."""
+    whole = F.greatest(F.lit(0), F.least(F.lit(255), F.col("v"))).cast("int")
+    px = B.pixels(spark, sf)
+    m = F.broadcast(mean_image(px.filter("image % 2 = 0")))  # one row a pixel of an image
+    far = px.filter("image % 2 = 1").join(m, "pos").filter(F.abs(whole - F.col("mean")) > SIMPLE).select("image", "pos")
+    opened = dilate(erode(far, 3, SIDE, square), 3, SIDE, square)
+    return erode(dilate(opened, 3, SIDE, square), 3, SIDE, square)
+
+
 def clusters(points: DataFrame, k: dict[str, int], rounds: int = 50) -> DataFrame:
     """class, cx, cy of the distinct points and key: k-means in each class from evenly chosen sorted points.
 
@@ -143,10 +181,17 @@ _GRID = "grid AS (SELECT pos::INT AS pos, 1 + (pos // 8 > 0)::INT + (pos // 8 <
 _dilated = lambda m: f"SELECT DISTINCT image, q.pos FROM {m} JOIN grid q ON {_PLUS.format(a=m)}"
 _eroded = lambda m: f"SELECT image, q.pos FROM {m} JOIN grid q ON {_PLUS.format(a=m)} GROUP BY image, q.pos, q.n HAVING count(*) = q.n"
 _M = f"{B.PX_SQL}, nm AS (SELECT pos, avg(v) AS mean FROM px WHERE image % 2 = 0 GROUP BY pos), {_GRID}, m AS (SELECT image, px.pos FROM px JOIN nm ON px.pos = nm.pos WHERE image % 2 = 1 AND abs(v - mean) >= {DIFFERENCE}), md AS ({_dilated('m')}), mc AS ({_eroded('md')}), f AS (SELECT image, px.pos FROM px JOIN nm ON px.pos = nm.pos WHERE image % 2 = 1 AND abs(v - mean) >= {FAINT}), me AS ({_eroded('f')}), mo AS ({_dilated('me')})"
-QUERIES = {f.__name__: f for f in (difference_mask, mask_closed, mask_opened, anomaly_components, cluster_boxes)}
+QUERIES = {f.__name__: f for f in (difference_mask, mask_closed, mask_opened, anomaly_components, anomaly_masks, simple_masks, cluster_boxes)}
+_SQUARE = "greatest(abs(q.pos // 8 - {a}.pos // 8), abs(q.pos % 8 - {a}.pos % 8)) <= 1"
+_GRID9 = "grid9 AS (SELECT pos::INT AS pos, (2 + (pos // 8 BETWEEN 1 AND 6)::INT) * (2 + (pos % 8 BETWEEN 1 AND 6)::INT) AS n FROM range(0, 64) t(pos))"
+_dilated9 = lambda m: f"SELECT DISTINCT image, q.pos FROM {m} JOIN grid9 q ON {_SQUARE.format(a=m)}"
+_eroded9 = lambda m: f"SELECT image, q.pos FROM {m} JOIN grid9 q ON {_SQUARE.format(a=m)} GROUP BY image, q.pos, q.n HAVING count(*) = q.n"
+_Z = f"{B.PX_SQL}, nm AS (SELECT pos, avg(v) AS mean, sqrt(greatest(coalesce(var_samp(v), 0), 1)) AS std FROM px WHERE image % 2 = 0 GROUP BY pos), {_GRID}, m AS (SELECT image, px.pos FROM px JOIN nm ON px.pos = nm.pos WHERE image % 2 = 1 AND (abs(v - mean) / (std + 1e-6) >= 3 OR abs(v - mean) >= 70)), md AS ({_dilated('m')}), mc AS ({_eroded('md')})"
 ORACLE = {
     "difference_mask": f"WITH {_M} SELECT * FROM m",
     "mask_closed": f"WITH {_M} SELECT * FROM mc",
     "mask_opened": f"WITH {_M} SELECT * FROM mo",
     "anomaly_components": f"WITH RECURSIVE {_M}, r AS (SELECT image, pos AS a, pos FROM mc UNION SELECT r.image, r.a, q.pos FROM r JOIN mc q ON q.image = r.image AND {_near_sql(False).format(a='r')}) SELECT image, component, count(*) AS area FROM (SELECT image, a, min(pos) AS component FROM r GROUP BY image, a) GROUP BY image, component HAVING count(*) >= {MIN_AREA}",
+    "anomaly_masks": f"WITH RECURSIVE {_Z}, r AS (SELECT image, pos AS a, pos FROM mc UNION SELECT r.image, r.a, q.pos FROM r JOIN mc q ON q.image = r.image AND {_near_sql(False).format(a='r')}), big AS (SELECT image, a AS pos FROM r GROUP BY image, a HAVING count(*) >= {MIN_AREA}) {_dilated('big')}",
+    "simple_masks": f"WITH {B.PX_SQL}, {_GRID9}, nm AS (SELECT pos, trunc(greatest(0, least(255, avg(v)))) AS mean FROM px WHERE image % 2 = 0 GROUP BY pos), m AS (SELECT image, px.pos FROM px JOIN nm ON px.pos = nm.pos WHERE image % 2 = 1 AND abs(trunc(greatest(0, least(255, v))) - mean) > {SIMPLE}), me AS ({_eroded9('m')}), mo AS ({_dilated9('me')}), md AS ({_dilated9('mo')}) {_eroded9('md')}",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxwright.functions import names as N
 from boxwright.operators.positions import best
 from boxwright.sources import bindings as B
+from boxwright.sources import configs
 
 #: area, key, corners, given centre, tolerance in percent. Area C is disabled.
 EXPECTED = [
@@ -84,6 +85,12 @@ def verdicts(results: DataFrame, skipped: DataFrame) -> DataFrame:
     return bad.unionByName(skipped.select("image", F.lit("SKIPPED").alias("verdict")).distinct())
 
 
+def _part_config(spark, sf) -> DataFrame:
+    """The parts as expected boxes: brands are products, and their names give the keys."""
+    p = B.table(spark, sf, "part")
+    return p.select(F.col("p_brand").alias("product"), F.concat(F.lit("A"), (F.col("p_size") % 3).cast("string")).alias("area"), F.col("p_partkey").alias("exp_ord"), F.concat(F.split("p_name", " ")[0], F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("#"), (F.col("p_partkey") % 4).cast("string"))).otherwise("")).alias("key"))
+
+
 def position_results_multi(spark, sf):
     return validated(detections(spark, sf).filter(F.col("area").isin(*ENABLED)), expected(spark).filter(F.col("area").isin(*ENABLED)))
 
@@ -97,6 +104,26 @@ def position_class_summary(spark, sf):
     return position_results_multi(spark, sf).groupBy("key", "status").agg(F.count("*").alias("n"), F.countDistinct("image").alias("images"))
 
 
+def greedy_match(spark, sf):
+    """Expected and detected boxes of a class, nearest pairs first, each side once; each class is expected twice."""
+    e = B.expected(spark).filter("class IN ('click', 'view')").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    e = e.select("class", F.concat_ws("#", "class", F.col("copy").cast("string")).alias("key"), (F.col("exp_ord") * 2 + F.col("copy")).alias("exp_ord"), ((F.col("x1") + F.col("x2")) / 2 + F.col("copy") * 100).alias("ex"), ((F.col("y1") + F.col("y2")) / 2).alias("ey"))
+    pairs = B.detections(spark, sf).join(F.broadcast(e), "class").withColumn("dist", F.sqrt(F.pow(F.col("cx") - F.col("ex"), 2) + F.pow(F.col("cy") - F.col("ey"), 2)))
+    return assigned(pairs.select("image", F.lit("").alias("area"), "class", "dist", "exp_ord", "ord", "key")).select("image", "key", "ord", "dist")
+
+
+def expected_item_names(spark, sf):
+    """Distinct base names of each product and area, in their order, as a configuration of the parts has them."""
+    return configs.items(_part_config(spark, sf)).select("product", "area", F.array_join("items", ",").alias("items"), F.size("items").alias("n"))
+
+
+def position_scope(spark, sf):
+    """Boxes that count for an area that is configured, and for one that isn't, so that all do."""
+    c = _part_config(spark, sf)
+    one = lambda area: configs.scoped(c, "Brand#12", area).groupBy("product", "area").agg(F.count("*").alias("n")).withColumn("asked", F.lit(area))
+    return one("A1").unionByName(one("none")).select("asked", "product", "area", "n")
+
+
 def name_parts(spark, sf):
     """File name, stem, suffix and class keys of paths made of the parts' names."""
     p = B.table(spark, sf, "part").select("p_partkey", F.format_string("data/set%d/%s.%d%s", F.col("p_size") % 3, F.regexp_replace("p_name", " ", "_"), F.col("p_partkey") % 4, F.when(F.col("p_partkey") % 2 == 0, ".JPG").otherwise("#7")).alias("path"))
@@ -141,8 +168,15 @@ res AS (SELECT * FROM ones UNION ALL SELECT image, key, ord, status FROM met
   UNION ALL SELECT d.image, d.class, d.ord, 'UNEXPECTED' FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.area = d.area AND e.class = d.class)) """
 _PATH = "SELECT p_partkey, printf('data/set%d/%s.%d%s', p_size % 3, replace(p_name, ' ', '_'), p_partkey % 4, CASE WHEN p_partkey % 2 = 0 THEN '.JPG' ELSE '#7' END) AS path FROM part"
 
-QUERIES = {f.__name__: f for f in (position_results_multi, position_verdict_multi, position_class_summary, name_parts, natural_order, logged_metrics, newest_change)}
+_PC = "WITH pc AS (SELECT p_brand AS product, 'A' || p_size % 3 AS area, p_partkey AS o, split_part(p_name, ' ', 1) AS item FROM part) "
+_G = f"""WITH {B.DET_SQL}, {B.EXP_SQL}, prs AS (SELECT image, d.class, ord, e.class || '#' || k AS key, exp_ord * 2 + k AS eo, sqrt((cx - (x1 + x2) / 2 - k * 100) ** 2 + (cy - (y1 + y2) / 2) ** 2) AS dist FROM det d JOIN ex e ON d.class = e.class, range(0, 2) t(k) WHERE d.class IN ('click', 'view')),
+f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, class ORDER BY dist, eo, ord) AS r FROM prs) WHERE r = 1),
+f2 AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY p.image, p.class ORDER BY p.dist, p.eo, p.ord) AS r FROM prs p JOIN f1 ON p.image = f1.image AND p.class = f1.class AND p.eo <> f1.eo AND p.ord <> f1.ord) WHERE r = 1) """
+QUERIES = {f.__name__: f for f in (greedy_match, expected_item_names, position_scope, position_results_multi, position_verdict_multi, position_class_summary, name_parts, natural_order, logged_metrics, newest_change)}
 ORACLE = {
+    "greedy_match": _G + "SELECT image, key, ord, dist FROM f1 UNION ALL SELECT image, key, ord, dist FROM f2",
+    "expected_item_names": _PC + "SELECT product, area, string_agg(item, ',' ORDER BY o) AS items, count(*)::INT AS n FROM (SELECT product, area, item, min(o) AS o FROM pc GROUP BY ALL) GROUP BY product, area",
+    "position_scope": _PC + "SELECT 'A1' AS asked, product, area, count(*) AS n FROM pc WHERE NOT EXISTS (SELECT 1 FROM pc WHERE product = 'Brand#12' AND area = 'A1') OR product = 'Brand#12' AND area = 'A1' GROUP BY product, area UNION ALL SELECT 'none', product, area, count(*) FROM pc GROUP BY product, area",
     "position_results_multi": _SQL + "SELECT * FROM res",
     "position_verdict_multi": _SQL + "SELECT image, CASE WHEN bool_or(status <> 'CORRECT') THEN 'FAIL' ELSE 'PASS' END AS verdict FROM res GROUP BY image UNION ALL SELECT DISTINCT image, 'SKIPPED' FROM dd WHERE area = 'C'",
     "position_class_summary": _SQL + "SELECT key, status, count(*) AS n, count(DISTINCT image) AS images FROM res GROUP BY key, status",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.operators.colors import color_summary
+from boxwright.operators import colors, positions
+from boxwright.operators.colors import color_fast_paths
 from boxwright.operators.geometry import yolo_to_corners
 from boxwright.operators.positions import position_status_counts
 from boxwright.sources import bindings as B
@@ -57,14 +58,30 @@ def createml_objects(spark, sf):
     return read_createml(createml_documents(_labelled(spark, sf)))
 
 
+def summary(color: DataFrame | None = None, position: DataFrame | None = None, detections: DataFrame | None = None) -> DataFrame:
+    """One row of what there is: records of the colour check, verdicts of positions, predictions.
+
+    ``position`` has status and n. A source that isn't there has ``exists`` false and null counts.
+    """
+    at = lambda s: F.max(F.when(F.col("status") == s, F.col("n"))).alias(f"n_{s.lower()}")
+    parts = {
+        "color": color is not None and color.agg(F.count("*").alias("color_count")),
+        "position": position is not None and position.agg(at("PASS"), at("FAIL"), at("SKIPPED"), F.sum("n").alias("samples")),
+        "detection": detections is not None and detections.agg(F.count("*").alias("predictions")),
+    }
+    rows = None
+    for one in parts.values():
+        if one:
+            rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    known = rows.columns if rows is not None else []
+    value = lambda c: F.max(c) if c in known else F.lit(None).cast("long")
+    rows = rows if rows is not None else SparkSession.active().range(0)
+    return rows.agg(*[F.lit(bool(one)).alias(f"{name}_exists") for name, one in parts.items()], *[value(c).alias(c) for c in ("color_count", "n_pass", "n_fail", "n_skipped", "samples", "predictions")])
+
+
 def qc_summary(spark, sf):
-    """One row: counts of the colour check, position statuses and predictions."""
-    color = color_summary(spark, sf).select(F.col("total").alias("color_count"))
-    at = lambda s: F.max(F.when(F.col("status") == s, F.col("n")))
-    position = position_status_counts(spark, sf).agg(at("PASS").alias("n_pass"), at("FAIL").alias("n_fail"), at("SKIPPED").alias("n_skipped"))
-    found = B.detections(spark, sf).agg(F.count("*").alias("predictions"))
-    rows = color.unionByName(position, allowMissingColumns=True).unionByName(found, allowMissingColumns=True)
-    return rows.agg(*[F.max(c).alias(c) for c in ("color_count", "n_pass", "n_fail", "n_skipped", "predictions")])
+    """The summary of the colour check, the positions and the detections."""
+    return summary(color_fast_paths(spark, sf), position_status_counts(spark, sf), B.detections(spark, sf))
 
 
 _C = f"WITH {B.ANN_SQL}, cor AS (SELECT stem, line_no AS ord, 'class' || class_id AS label, greatest(0, least((x - w / 2) * 1280, 1280)) AS x1, greatest(0, least((y - h / 2) * 720, 720)) AS y1, greatest(0, least((x + w / 2) * 1280, 1280)) AS x2, greatest(0, least((y + h / 2) * 720, 720)) AS y2 FROM ann) "
@@ -72,4 +89,5 @@ QUERIES = {f.__name__: f for f in (voc_objects, createml_objects, qc_summary)}
 ORACLE = {
     "voc_objects": _C + "SELECT stem || '.jpg' AS filename, ord, label, false AS difficult, round_even(x1, 0)::INT AS xmin, round_even(y1, 0)::INT AS ymin, round_even(x2, 0)::INT AS xmax, round_even(y2, 0)::INT AS ymax FROM cor",
     "createml_objects": _C + "SELECT stem || '.jpg' AS image, ord, label, x1, y1, x2, y2 FROM cor",
+    "qc_summary": f"SELECT true AS color_exists, true AS position_exists, true AS detection_exists, (SELECT count(*) FROM ({colors.ORACLE['color_fast_paths']})) AS color_count, sum(n) FILTER (status = 'PASS')::BIGINT AS n_pass, sum(n) FILTER (status = 'FAIL')::BIGINT AS n_fail, sum(n) FILTER (status = 'SKIPPED')::BIGINT AS n_skipped, sum(n)::BIGINT AS samples, (SELECT count(*) FROM events) AS predictions FROM ({positions.ORACLE['position_status_counts']})",
 }

@@ -1,8 +1,7 @@
-"""Positions: best detections, expected boxes, verdicts, calibration, greedy assignment."""
+"""Positions: best detections, expected boxes, verdicts, calibration."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,27 +67,8 @@ def auto_tolerance(spark, sf):
     return s.agg((F.greatest(F.max(F.greatest("sigma_cx", "sigma_cy")) * 3, F.lit(5.0)) / B.IMGSZ * 100).alias("tolerance"))
 
 
-def greedy_match(spark, sf):
-    """Expected and detected boxes of a class, nearest pairs first, each side once; the scan is sequential in an image and class."""
-    d = B.detections(spark, sf)
-    e = B.expected(spark).filter("class IN ('click', 'view')").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    e = e.select("class", F.concat_ws("#", "class", F.col("copy").cast("string")).alias("key"), (F.col("exp_ord") * 2 + F.col("copy")).alias("exp_ord"), ((F.col("x1") + F.col("x2")) / 2 + F.col("copy") * 100).alias("ex"), ((F.col("y1") + F.col("y2")) / 2).alias("ey"))
-    pairs = d.join(F.broadcast(e), "class").withColumn("dist", F.sqrt(F.pow(F.col("cx") - F.col("ex"), 2) + F.pow(F.col("cy") - F.col("ey"), 2)))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_e, used_d, rows = set(), set(), []
-        for r in pdf.sort_values(["dist", "exp_ord", "ord"]).itertuples():
-            if r.exp_ord not in used_e and r.ord not in used_d:
-                used_e.add(r.exp_ord)
-                used_d.add(r.ord)
-                rows.append((r.image, r.key, r.ord, r.dist))
-        return pd.DataFrame(rows, columns=["image", "key", "ord", "dist"])
-
-    return pairs.select("image", "class", "key", "exp_ord", "ord", "dist").groupBy("image", "class").applyInPandas(assign, "image string, key string, ord long, dist double")
-
-
 _D = f"WITH {B.DET_SQL}, {B.EXP_SQL}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, class ORDER BY conf DESC, ord) AS r FROM det) WHERE r = 1), res AS (SELECT i.image, ex.class, CASE WHEN b.ord IS NULL THEN 'missing' WHEN b.cx BETWEEN greatest(0, x1 - 32) AND least(640, x2 + 32) AND b.cy BETWEEN greatest(0, y1 - 32) AND least(640, y2 + 32) THEN 'correct' ELSE 'wrong' END AS status FROM (SELECT DISTINCT image FROM det) i CROSS JOIN ex LEFT JOIN best b ON b.image = i.image AND b.class = ex.class), odd AS (SELECT DISTINCT image, class FROM det WHERE class NOT IN (SELECT class FROM ex)), ver AS (SELECT image, CASE WHEN bool_or(status <> 'correct') OR image IN (SELECT image FROM odd) THEN 'FAIL' ELSE 'PASS' END AS verdict FROM res GROUP BY image), st AS (SELECT class, count(*) AS n, avg(cx) AS cx, avg(cy) AS cy, coalesce(stddev_samp(cx), 0) AS sigma_cx, coalesce(stddev_samp(cy), 0) AS sigma_cy, round_even(avg(cx - half), 0)::INT AS x1, round_even(avg(cx + half), 0)::INT AS x2 FROM det GROUP BY class) "
-QUERIES = {f.__name__: f for f in (best_detection_per_class, position_results_single, unexpected_classes, position_verdict, position_status_counts, box_statistics, per_image_class_mode, auto_tolerance, greedy_match)}
+QUERIES = {f.__name__: f for f in (best_detection_per_class, position_results_single, unexpected_classes, position_verdict, position_status_counts, box_statistics, per_image_class_mode, auto_tolerance)}
 ORACLE = {
     "best_detection_per_class": _D + "SELECT image, class, ord, conf FROM best",
     "position_results_single": _D + "SELECT * FROM res",

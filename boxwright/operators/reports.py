@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from boxwright.functions.numbers import percentile_or, ratio_or
 from boxwright.sources import bindings as B
 
 
@@ -163,9 +164,39 @@ def expected_color_lookup(spark, sf):
     return B.table(spark, sf, "part").select("p_partkey", c.alias("color"))
 
 
+def log_issue_lines(spark, sf):
+    """Lines that tell of errors or warnings, in any case."""
+    low = F.lower("text")
+    return B.table(spark, sf, "conversations").filter(low.contains("error") | low.contains("warning")).select("conv_id", "turn")
+
+
+def label_text_check(spark, sf):
+    """Whether a label's text may stand: two characters or more on its line, the first no blank or tab."""
+    text = F.concat(F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(""), F.when(F.col("p_partkey") % 7 == 0, "x").otherwise(F.col("p_name")))
+    return B.table(spark, sf, "part").select("p_partkey", text.rlike(r"^[^ \t].+").alias("valid"))
+
+
+def outcome_tally(spark, sf):
+    """Orders done and not done of each priority."""
+    done = F.col("o_orderstatus") == "F"
+    return B.table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count_if(done).alias("succeeded"), F.count_if(~done).alias("failed"))
+
+
+def user_ratios(spark, sf):
+    """Each user's 90th percentile of purchases (-1 for none) and share of clicks that they are (-1 without clicks)."""
+    e, is_ = B.table(spark, sf, "events"), lambda t: F.col("event_type") == t
+    n = lambda t: F.count_if(is_(t)).cast("double")
+    return e.groupBy("user_id").agg(percentile_or(F.when(is_("purchase"), F.col("value")), 90, -1.0).alias("p90"), ratio_or(n("purchase"), n("click"), -1.0).alias("ratio"))
+
+
+def color_sample_totals(spark, sf):
+    """Samples of all colours of a model, and its colours in order."""
+    return color_running_stats(spark, sf).agg(F.sum("count").alias("total_samples"), F.array_join(F.sort_array(F.collect_set("color")), ",").alias("colors"))
+
+
 _N = f"WITH {B.PX_SQL}, nm AS (SELECT pos, avg(v) AS mean, sqrt(greatest(coalesce(var_samp(v), 0), 1)) AS std FROM px WHERE image % 2 = 0 GROUP BY pos), cs AS (SELECT image, count(*) AS n, avg(v) AS mean, min(v) AS min, max(v) AS max, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.9) AS p90 FROM px WHERE v >= 20 GROUP BY image) "
 _S = "WITH sp AS (SELECT doc_id, CASE WHEN k <= round_even(n * 0.7, 0) THEN 'train' WHEN k <= round_even(n * 0.85, 0) THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality, toxic ORDER BY md5(doc_id || ':42'), doc_id) AS k, (count(*) OVER (PARTITION BY quality, toxic))::DOUBLE AS n FROM labels)) "
-QUERIES = {f.__name__: f for f in (normal_model, anomaly_zmask, stratified_split, two_stage_split, split_counts, seeded_sample, last_metrics, latest_run, next_version, dir_fingerprint, freshness, epoch_log_parse, epoch_log_losses, log_severity, color_channel_stats, color_running_stats, expected_color_lookup)}
+QUERIES = {f.__name__: f for f in (normal_model, anomaly_zmask, stratified_split, two_stage_split, split_counts, seeded_sample, last_metrics, latest_run, next_version, dir_fingerprint, freshness, epoch_log_parse, epoch_log_losses, log_severity, color_channel_stats, color_running_stats, expected_color_lookup, log_issue_lines, label_text_check, outcome_tally, user_ratios, color_sample_totals)}
 ORACLE = {
     "normal_model": _N + "SELECT * FROM nm",
     "anomaly_zmask": _N + "SELECT image, px.pos FROM px JOIN nm ON px.pos = nm.pos WHERE image % 2 = 1 AND (abs(v - mean) / (std + 1e-6) >= 3 OR abs(v - mean) >= 70)",
@@ -184,4 +215,9 @@ ORACLE = {
     "color_channel_stats": _N + "SELECT * FROM cs",
     "color_running_stats": _N + "SELECT label AS color, count(*) AS count, avg(mean) AS mean, min(min) AS min, max(max) AS max, avg(p10) AS p10, avg(p90) AS p90 FROM cs JOIN embeddings ON image = vec_id GROUP BY label",
     "expected_color_lookup": "SELECT p_partkey, CASE " + " ".join(f"WHEN lower(p_name) LIKE '%{c}%' THEN '{c}'" for c in ("red", "green", "blue", "yellow", "black", "white")) + " END AS color FROM part",
+    "log_issue_lines": "SELECT conv_id, turn FROM conversations WHERE text ILIKE '%error%' OR text ILIKE '%warning%'",
+    "label_text_check": "SELECT p_partkey, regexp_matches(CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE p_name END, '^[^ \\t].+') AS valid FROM part",
+    "outcome_tally": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS succeeded, count(*) FILTER (o_orderstatus <> 'F') AS failed FROM orders GROUP BY 1",
+    "user_ratios": "SELECT user_id, coalesce(quantile_cont(value, 0.9) FILTER (event_type = 'purchase'), -1) AS p90, coalesce(count(*) FILTER (event_type = 'purchase') / nullif(count(*) FILTER (event_type = 'click'), 0), -1) AS ratio FROM events GROUP BY user_id",
+    "color_sample_totals": _N + "SELECT sum(n)::BIGINT AS total_samples, string_agg(label::VARCHAR, ',' ORDER BY label) AS colors FROM (SELECT label, count(*) AS n FROM cs JOIN embeddings ON image = vec_id GROUP BY label)",
 }

@@ -14,7 +14,7 @@ _DOUBLES = {
     "annotation_progress": "percent", "yolo_to_corners": "x1 y1 x2 y2", "corners_to_yolo": "x y w h", "letterbox_boxes": "x1 y1 x2 y2", "padded_resize_boxes": "x y w h", "automl_rows": "x_min y_min x_max y_max",
     "best_detection_per_class": "conf", "box_statistics": "cx cy sigma_cx sigma_cy", "auto_tolerance": "tolerance", "greedy_match": "dist", "normal_model": "mean std", "last_metrics": "value", "epoch_log_parse": "box_loss", "epoch_log_losses": "box_loss cls_loss dfl_loss",
     "color_channel_stats": "mean min max p10 p90", "color_running_stats": "mean min max p10 p90",
-    "color_fast_paths": "black_confidence yellow_ratio", "color_green_share": "green_ratio", "color_hue_similarity": "similarity", "color_summary": "accuracy", "cluster_boxes": "cx cy", "nearest_vertex": "dist", "mask_scores": "metric", "augmented_boxes": "x y w h", "color_scores": "score", "color_decisions": "confidence coverage", "createml_objects": "x1 y1 x2 y2",
+    "color_fast_paths": "black_confidence yellow_ratio", "color_green_share": "green_ratio", "color_hue_similarity": "similarity", "color_summary": "accuracy", "cluster_boxes": "cx cy", "nearest_vertex": "dist", "user_ratios": "p90 ratio", "mask_scores": "metric", "augmented_boxes": "x y w h", "color_scores": "score", "color_decisions": "confidence coverage", "createml_objects": "x1 y1 x2 y2",
 }
 
 

@@ -22,6 +22,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _empty_files(spark: SparkSession, folder: str, listed: DataFrame, found: DataFrame) -> DataFrame:
+    """The files without a byte, which Spark's scans leave out; the driver, which lists the folder, asks for their times."""
+    names = [(p,) for p in listed.inputFiles()]
+    if len(names) == found.count():
+        return found.limit(0)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, rows = path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), []
+    full = found.select(F.explode(F.array("path", F.regexp_replace("path", "^file:/+", "file:///"))).alias("p"))
+    for (p,) in spark.createDataFrame(names, "p string").join(full, "p", "left_anti").collect():
+        status = fs.getFileStatus(path(spark._jvm.java.net.URI(p)))
+        if not status.getLen():  # escaped names aren't met in ``full``
+            rows.append((status.getPath().toString(), status.getModificationTime()))
+    empty = spark.createDataFrame(rows, "path string, millis long")
+    return empty.select("path", F.timestamp_millis("millis").alias("modificationTime"), F.lit(0).cast("long").alias("length"))
+
+
 def files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] | None = IMAGES, recursive: bool = False, required: bool = False) -> DataFrame:
     """path, name, stem, suffix, modified, length of the files with one of the suffixes, in any case; contents aren't read.
 
@@ -31,8 +47,10 @@ def files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] | None = I
         if required:
             raise FileNotFoundError(folder)
         return spark.createDataFrame([], _FILES)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     path = F.col("path")
+    found = listed.select("path", "modificationTime", "length")
+    found = found.unionByName(_empty_files(spark, folder, listed, found))
     found = found.select(path, N.file_name(path).alias("name"), N.stem(path).alias("stem"), N.suffix(path).alias("suffix"), F.col("modificationTime").alias("modified"), "length")
     if suffixes is not None:
         found = found.filter(F.col("suffix").isin(*[s.lower() for s in suffixes]))
@@ -162,3 +180,24 @@ def json_or_none(spark: SparkSession, path: str):
         return json.loads(text)
     except (AnalysisException, ValueError, TypeError):
         return None
+
+
+def _documents(spark: SparkSession, folder: str, ending: str, column: str) -> DataFrame:
+    if not exists(spark, folder):
+        return spark.createDataFrame([], f"stem string, {column} string")
+    text = spark.read.option("pathGlobFilter", ending).text(folder, wholetext=True)
+    return text.select(N.stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias(column))
+
+
+def voc(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects of a folder's Pascal VOC files; a file that is no such XML has none."""
+    from boxwright.operators.labels import read_voc
+
+    return read_voc(_documents(spark, folder, "*.[xX][mM][lL]", "xml"))
+
+
+def createml(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes of a folder's CreateML files; a file that is no such JSON has none."""
+    from boxwright.operators.labels import read_createml
+
+    return read_createml(_documents(spark, folder, "*.[jJ][sS][oO][nN]", "json"))

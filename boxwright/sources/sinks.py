@@ -65,3 +65,57 @@ def write_labels(rows: DataFrame, path: str) -> None:
 def data_yaml(names: list[str], root: str = ".") -> str:
     """The text of a data.yaml."""
     return "".join([f"path: {json.dumps(root)}\n", "train: train/images\nval: val/images\ntest: test/images\n", f"nc: {len(names)}\n", "names:\n", *[f"  {i}: {json.dumps(n, ensure_ascii=False)}\n" for i, n in enumerate(names)]])
+
+
+def write_documents(docs: DataFrame, column: str, path: str) -> None:
+    """One text (XML or JSON) a stem, a folder for each; their line breaks become spaces."""
+    docs.select("stem", F.regexp_replace(column, r"[\r\n]+", " ").alias("value")).write.mode("overwrite").partitionBy("stem").text(path)
+
+
+def createml_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """CreateML records (image, annotations): the new ones replace those of the same image, others stay."""
+    return old.join(new.select("image"), "image", "left_anti").unionByName(new)
+
+
+def report(name: str, run: str, dataset: str, images: dict[str, int], metrics: dict, pictures: list[str] = ()) -> str:
+    """The Markdown text of a training report."""
+    counts = ", ".join(f"{split}={images.get(split, 0)}" for split in ("train", "val", "test"))
+    lines = [f"- {k}: {v}" for k, v in metrics.items()] or ["- (No metrics found in results.csv)"]
+    return "\n".join([f"# YOLO Report: {name}", "", f"- Run dir: {run}", f"- Dataset: {dataset}", f"- Images: {counts}", "", "## Metrics", *lines, "", "## Artifacts", *[f"![{p}]({p})" for p in pictures]])
+
+
+def write_report(spark, name: str, run: str, dataset: str, path: str, pictures: list[str] = ()) -> None:
+    """A report of a run: images of each split, and the last metrics; both may be missing."""
+    from boxwright.sources import files
+
+    images = {s: files.files(spark, f"{dataset}/{s}/images", suffixes=None).count() for s in ("train", "val", "test")}
+    there = [p for p in pictures if files.exists(spark, f"{run}/{p}")]
+    text = report(name, run, dataset, images, files.last_row(spark, f"{run}/results.csv"), there)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def plain(value):
+    """A value as JSON can hold it: keys are text, sequences lists, anything else its text."""
+    if value is None or type(value) in (bool, int, float, str):
+        return value
+    if isinstance(value, dict):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set)):
+        return [plain(v) for v in value]
+    return str(value)
+
+
+def append_experiment(spark, record: dict, path: str) -> None:
+    """A record of an experiment as one more JSON line of the table at ``path``."""
+    text = json.dumps(plain(record), ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def config_fingerprint(config) -> str:
+    """MD5 of a configuration's JSON with sorted keys; "unknown" if it has none."""
+    import hashlib
+
+    try:
+        return hashlib.md5(json.dumps(config, sort_keys=True).encode()).hexdigest()
+    except (TypeError, ValueError):
+        return "unknown"

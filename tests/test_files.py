@@ -1,13 +1,14 @@
 """Readers, writers, task plans and streams over small folders."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from boxwright.operators import decisions, instances, lint
 from boxwright.plans import tasks
-from boxwright.sources import bindings, files, sinks
+from boxwright.sources import bindings, configs, files, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +135,89 @@ def test_log_stream(spark, tmp_path):
     q = latest_epochs(epoch_stream(spark, f"file://{tmp_path}/in")).writeStream.outputMode("complete").format("memory").queryName("epochs").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.file, r.epoch, r.box_loss) for r in spark.table("epochs").collect()) == [("a.log", 2, 2.5), ("b.log", 7, 1.0)]
+
+
+def test_empty_files_are_listed(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, text in (("a.jpg", ""), ("b c.JPG", ""), ("sub/d%2.png", ""), ("fu ll.png", "x"), ("e.png", "xy")):
+        (tmp_path / name).write_text(text)
+    got = lambda deep: sorted((r.name, r.length) for r in files.files(spark, f"file://{tmp_path}", recursive=deep).collect())
+    assert got(False) == [("a.jpg", 0), ("b c.JPG", 0), ("e.png", 2), ("fu ll.png", 1)]
+    assert got(True) == [("a.jpg", 0), ("b c.JPG", 0), ("d%2.png", 0), ("e.png", 2), ("fu ll.png", 1)]
+    assert files.files(spark, f"file://{tmp_path}").filter("modified IS NULL").count() == 0
+
+
+def test_configurations(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    (tmp_path / "pos.json").write_text(json.dumps({"P": {"A": {"tolerance": 3, "expected_boxes": {"X#1": {"x1": 1, "x2": "9", "cx": 4}, "Y": {"x1": "?"}, "X#0": {}, "Z": 7}}, "B": 5}, "Q": 1}))
+    p = configs.positions(spark, f"{root}/pos.json")
+    assert [(r.key, r.x1, r.x2, r.ecx, r.area_tolerance, r.enabled, r.mode) for r in p.orderBy("exp_ord").collect()] == [("X#1", 1.0, 9.0, 4.0, 3.0, True, "center"), ("X#0", 0.0, 0.0, None, 3.0, True, "center")]
+    with pytest.raises(TypeError):
+        configs.position_rows([1])
+    assert configs.positions(spark, None).count() == 0
+    assert configs.scoped(p, "P", "A").count() == configs.scoped(p, "P", "none").count() == configs.scoped(p).count() == 2
+    assert configs.expected_items(spark, None, p) == configs.expected_items(spark, None, p, "P", "A") == {"P": {"A": ["X"]}}
+    assert configs.expected_items(spark, None, p, "P", "none", ["a", None]) == {"P": {"none": ["a"]}}
+    assert configs.expected_items(spark, {"Z": {}}, p) == {"Z": {}} and configs.expected_items(spark) == {}
+    assert configs.overridden(p, "x").first().area_tolerance == 3.0 and configs.overridden(p, "7", "px").first().asDict()["tolerance_unit"] == "px"
+    assert configs.detection_config({"conf": 1}, {"steps": 2, "device": 3, "conf": 9}, ["device"], "P") == {"conf": 1, "current_product": "P", "steps": 2}
+    assert configs.load(spark, f"{root}/none.yaml", {"a": 1}) == {"a": 1} and configs.mapping(spark, f"{root}/none.yaml") == {} and configs.mapping(spark, {1: 2}) == {"1": 2}
+    with pytest.raises(FileNotFoundError):
+        configs.load(spark, f"{root}/none.yaml")
+
+
+def test_runs_and_models(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    run = tmp_path / "runs" / "train2"
+    (run / "weights").mkdir(parents=True)
+    (run / "args.yaml").write_text('{"data": "data.json"}')
+    (run / "data.json").write_text('{"names": {"1": "b", "0": "a"}}')
+    assert sorted(configs.run_class_names(spark, f"{root}/runs/train2")) == ["a", "b"] and configs.run_class_names(spark, f"{root}/no", ["z"]) == ["z"]
+    assert configs.existing_weights(spark, f"{root}/runs") is None and configs.existing_weights(spark, f"{root}/no") is None
+    for i, name in enumerate(("best.pt", "last.pt")):
+        (run / "weights" / name).write_text("w")
+        os.utime(run / "weights" / name, (1000 + i, 1000 + i))
+    assert configs.existing_weights(spark, f"{root}/runs").endswith("/last.pt") and configs.existing_weights(spark, f"{root}/runs", "other") is None
+    assert configs.existing_weights(spark, f"{root}/runs", given=[None, f"{root}/no.pt", f"{root}/runs/train2/args.yaml"]).endswith("args.yaml")
+    (tmp_path / "model.json").write_text('{"colors": {"Red": {"samples": 3}, "Blue": {"samples": 4}, "bad": 1}}')
+    m = configs.color_model(spark, f"{root}/model.json")
+    assert (m["total_samples"], sorted(m["colors"]), m["version"]) == (7, ["Blue", "Red"], 1)
+    (tmp_path / "p.json").write_text('{"presets": {"fast": ["a", 1], "bad": 2}}')
+    assert configs.presets(spark, [f"{root}/no.json", f"{root}/p.json"], {"d": []}) == {"fast": ["a", "1"]} and configs.presets(spark, [], {"d": []}) == {"d": []}
+    w = configs.Watched(f"{root}/p.json", {"old": 1})
+    assert w.current(spark) == {"old": 1} == w.current(spark)
+    os.utime(tmp_path / "p.json", (4e9, 4e9))
+    assert "presets" in w.current(spark) and configs.Watched(f"{root}/no", {"x": 1}).current(spark) == {"x": 1}
+
+
+def test_label_documents_in_folders(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "a.XML").write_text("<annotation><filename>a.jpg</filename><object><name>x</name><bndbox><xmin>1.9</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object></annotation>")
+    (tmp_path / "v" / "b.xml").write_text("not xml")
+    (tmp_path / "v" / "c.json").write_text('[{"image": "c.jpg", "annotations": [{"label": "y", "coordinates": {"x": 5, "y": 5, "width": 2, "height": 4}}]}]')
+    (tmp_path / "v" / "d.json").write_text("{")
+    assert [(r.filename, r.label, r.xmin, r.difficult) for r in files.voc(spark, f"{root}/v").collect()] == [("a.jpg", "x", 1, False)]
+    assert [(r.image, r.x1, r.y2) for r in files.createml(spark, f"{root}/v").collect()] == [("c.jpg", 4.0, 7.0)]
+    assert files.voc(spark, f"{root}/no").count() == files.createml(spark, f"{root}/no").count() == 0
+
+
+def test_reports_and_records(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    (tmp_path / "d" / "train" / "images").mkdir(parents=True)
+    (tmp_path / "d" / "train" / "images" / "a.jpg").write_text("")
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "results.csv").write_text("epoch, map\n1,0.5\n2,0.6\n")
+    (tmp_path / "run" / "results.png").write_text("")
+    sinks.write_report(spark, "train", f"{root}/run", f"{root}/d", f"{root}/report", ["results.png", "none.png"])
+    text = spark.read.text(f"{root}/report", wholetext=True).first().value
+    assert "train=1, val=0, test=0" in text and "- map: 0.6" in text and "![results.png](results.png)" in text and "none.png" not in text
+    assert "(No metrics found in results.csv)" in sinks.report("n", "r", "d", {}, {})
+    for i in range(2):
+        sinks.append_experiment(spark, {"id": i, "paths": (tmp_path,), 3: {"x": None}}, f"{root}/exp")
+    assert sorted(json.loads(r.value)["id"] for r in spark.read.text(f"{root}/exp").collect()) == [0, 1]
+    assert sinks.config_fingerprint({"b": 1, "a": 2}) == sinks.config_fingerprint({"a": 2, "b": 1}) != sinks.config_fingerprint({"a": 3}) and sinks.config_fingerprint({1j: 2}) == sinks.config_fingerprint(object()) == "unknown"
+    old, new = (spark.createDataFrame(r, "image string, annotations string") for r in ([("a", "1"), ("b", "2")], [("b", "3"), ("c", "4")]))
+    assert sorted(map(tuple, sinks.createml_upsert(old, new).collect())) == [("a", "1"), ("b", "3"), ("c", "4")]
+    sinks.write_documents(spark.createDataFrame([("a", "<x>\n</x>")], "stem string, xml string"), "xml", f"{root}/docs")
+    assert spark.read.text(f"{root}/docs").first().value == "<x> </x>"

@@ -62,11 +62,34 @@ def test_opening_rounds_a_block_and_drops_a_dot(spark):
     assert got == block - {8 * 2 + 2, 8 * 2 + 5, 8 * 5 + 2, 8 * 5 + 5}
 
 
-def test_qc_summary_agrees_with_its_parts(spark):
-    r = QUERIES["qc_summary"](spark, SF).collect()
-    n = {x.status: x.n for x in QUERIES["position_status_counts"](spark, SF).collect()}
-    assert len(r) == 1 and (r[0].n_pass, r[0].n_fail, r[0].n_skipped) == (n["PASS"], n["FAIL"], n["SKIPPED"])
-    assert r[0].color_count == QUERIES["color_summary"](spark, SF).first().total and r[0].predictions > 0
+def test_summary_of_missing_sources(spark):
+    from boxwright.operators.labels import summary
+
+    got = summary(detections=spark.range(3)).first()
+    assert (got.color_exists, got.position_exists, got.detection_exists) == (False, False, True)
+    assert (got.color_count, got.n_pass, got.samples, got.predictions) == (None, None, None, 3)
+    assert summary().first().predictions is None
+
+
+def test_cleaned_masks_skip_steps_of_size_zero(spark):
+    from boxwright.operators.kernels import cleaned
+
+    block = {8 * y + x for y in range(1, 4) for x in range(1, 4)}
+    mask = spark.createDataFrame([(1, p) for p in sorted(block | {63})], "image long, pos int")
+    same = {r.pos for r in cleaned(mask, 1, 0, 0).collect()}
+    large = {r.pos for r in cleaned(mask, 5, 0, 0).collect()}
+    wide = {r.pos for r in cleaned(mask, 5, 0, 0, 3).collect()}
+    assert same == block | {63} and large == block and wide == block | {8 * i + 2 for i in (0, 4)} | {8 * i + j for i in (1, 2, 3) for j in (0, 4)} | {1, 3, 33, 35}
+
+
+def test_boxes_of_unturned_images_stay(spark):
+    from boxwright.operators.shapes import augmented
+
+    rows = [(s, 0, 1, 0.5, 0.5, 0.2, 0.4) for s in range(20)] + [(99, 0, 1, 1.4, 0.5, 0.2, 0.2), (99, 1, 1, 1.0, 0.5, 0.2, 0.2)]
+    got = augmented(spark.createDataFrame(rows, "stem long, line_no int, class_id int, x double, y double, w double, h double"), limit=0.0).collect()
+    assert all((round(r.x, 9), round(r.y, 9), round(r.w, 9), round(r.h, 9)) == (0.5, 0.5, 0.2, 0.4) for r in got if r.stem < 99)
+    edges = {round(r.x, 9) for r in got if r.stem == 99}
+    assert len(got) == 63 and edges <= {0.95, 0.05} and edges
 
 
 def test_line_errors_read_the_values(spark):

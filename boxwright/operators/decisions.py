@@ -51,14 +51,15 @@ def hsv_rule(r: ColorRange) -> str:
 def measures(pixels: DataFrame, ranges: list[ColorRange], edge: float = EDGE) -> DataFrame:
     """One row an image: what the scores, quick tests, corrections and coverages need of its ``pixels``.
 
-    ``pixels`` has image, row, col, h, s, v, l, a, b. An edge is cropped first where the image is larger than two.
+    ``pixels`` has image, row, col, h, s, v, l, a, b, and height and width where the sizes are known: pixels may lack
+    then; else an image ends at its last row and column. An edge is cropped first where the image is larger than two.
     """
-    size = pixels.groupBy("image").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
-    short = F.least("height", "width")
-    m = F.floor(short * edge)
-    size = size.withColumn("m", F.when((m > 0) & (F.col("height") > 2 * m) & (F.col("width") > 2 * m), m).otherwise(0))
-    size = size.select("image", "m", (F.col("height") - 2 * F.col("m")).alias("hh"), (F.col("width") - 2 * F.col("m")).alias("ww"))
-    p = pixels.join(size, "image").withColumns({"y": F.col("row") - F.col("m"), "x": F.col("col") - F.col("m")})
+    if not {"height", "width"} <= set(pixels.columns):
+        size = pixels.groupBy("image").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+        pixels = pixels.join(size, "image")
+    m = F.floor(F.least("height", "width") * edge)
+    p = pixels.withColumn("m", F.when((m > 0) & (F.col("height") > 2 * m) & (F.col("width") > 2 * m), m).otherwise(0))
+    p = p.withColumns({"hh": F.col("height") - 2 * F.col("m"), "ww": F.col("width") - 2 * F.col("m"), "y": F.col("row") - F.col("m"), "x": F.col("col") - F.col("m")})
     p = p.filter("y >= 0 AND x >= 0 AND y < hh AND x < ww")
     inside = lambda my, mx: (F.col("y") >= my) & (F.col("y") < F.col("hh") - my) & (F.col("x") >= mx) & (F.col("x") < F.col("ww") - mx)
     both = F.floor(F.least("hh", "ww") * CENTRE)

@@ -116,3 +116,16 @@ def test_entry_imports(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["color_decisions", "color_decision_counts"])
+def test_colours_of_images_with_parts_missing(spark, tmp_path, name):
+    """Every set of the four embeddings of an image, of every kind, and rows without a number."""
+    ids = [4 * image + q for image in range(11 * 15) for q in range(4) if (image // 11 + 1) >> q & 1] + [None, None]
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT unnest(?::BIGINT[]) AS vec_id, range(64)::FLOAT[] AS embedding, 1 AS label) TO '{tmp_path}/embeddings.parquet'", [ids])
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(ORACLE[name])
+    columns = [c[0] for c in want.description]
+    df = QUERIES[name](spark, str(tmp_path))
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, want.fetchall())

@@ -118,7 +118,7 @@ def test_entry_imports(spark):
     assert e.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["color_decisions", "color_decision_counts"])
+@pytest.mark.parametrize("name", ["color_scores", "color_decisions", "color_decision_counts"])
 def test_colours_of_images_with_parts_missing(spark, tmp_path, name):
     """Every set of the four embeddings of an image, of every kind, and rows without a number."""
     ids = [4 * image + q for image in range(11 * 15) for q in range(4) if (image // 11 + 1) >> q & 1] + [None, None]

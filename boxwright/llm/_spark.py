@@ -21,9 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read from there: cuts lineage and outlives lost executors."""
+def cut(df: DataFrame, light: bool = False) -> DataFrame:
+    """Written to the shared folder and read from there: cuts lineage and outlives lost executors.
+
+    ``light`` says that a row is a few numbers, out of a shuffle: eight partitions then go to a file, though never fewer
+    files than four a core. On a local folder Hadoop starts two processes for each file, and one that is being
+    started counts as a second JVM.
+    """
     shared_dir(df.sparkSession)
+    if light:
+        df = df.coalesce(max(-(-shuffle_partitions(df.sparkSession) // 8), 4 * df.sparkSession.sparkContext.defaultParallelism))
     return df.checkpoint()
 
 

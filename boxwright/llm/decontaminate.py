@@ -81,7 +81,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST
         often = every.groupBy("key").agg(F.count("*").alias("n")).join(keys, "key")
     first = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "key")).alias("p")
     rarest = spread.join(often, "key", "left").groupBy("t", "window", "items").agg(first)
-    prefix = cut(rarest.select("window", "items", F.col("p.offset").alias("offset"), F.col("p.key").alias("key")))
+    prefix = cut(rarest.select("window", "items", F.col("p.offset").alias("offset"), F.col("p.key").alias("key")), light=True)
     start, length = F.col("pos") - F.col("offset"), F.size("window")
     fits = (start >= 0) & (start + length <= F.size("w"))
     same = F.slice("w", F.greatest(start, F.lit(0)) + 1, length) == F.col("window")

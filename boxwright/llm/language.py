@@ -142,7 +142,7 @@ def priors(rows: DataFrame, langs: list[str], strength: float = STRENGTH) -> Dat
     best = F.array_position(F.slice("ll", 1, k), F.array_max(F.slice("ll", 1, k)))
     counts = rows.filter("host IS NOT NULL AND ll IS NOT NULL").withColumn("b", best).groupBy("host").agg(*[F.sum((F.col("b") == i + 1).cast("double")).alias(f"n{i}") for i in range(k)])
     # one row a host: texts are read once for it, whatever follows
-    counts = cut(counts).withColumn("domain", _domain(F.col("host")))
+    counts = cut(counts, light=True).withColumn("domain", _domain(F.col("host")))
     by = counts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(k)])
     total = by.agg(*[F.sum(f"d{i}").alias(f"t{i}") for i in range(k)]).first()
     t = [float(x or 0) for x in total] if total else [0.0] * k

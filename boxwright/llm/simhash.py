@@ -162,25 +162,25 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     fraction of those before, whatever the shape. At most ``few`` links (32 MB)
     are finished in one task. Each round's results lie in the shared folder.
     """
-    edges = cut(edges.filter("a <> b"))
+    edges = cut(edges.filter("a <> b"), light=True)
     maps = []
     while edges.count() > few:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
-        to = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("id"), F.least(rank("a"), "m")["id"].alias("to")))
+        to = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("id"), F.least(rank("a"), "m")["id"].alias("to")), light=True)
         maps.append(to)
         left = to.select(F.col("id").alias("a"), F.col("to").alias("x"))
         right = to.select(F.col("id").alias("b"), F.col("to").alias("y"))
-        edges = cut(edges.join(left, "a").join(right, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = cut(edges.join(left, "a").join(right, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), light=True)
     last = edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_finish, "id long, component long")
     if not maps:
         return last
-    last = cut(last)
+    last = cut(last, light=True)
     out = maps[0].select("id", F.col("to").alias("component"))
     for to in [*maps[1:], last.withColumnRenamed("component", "to")]:
         at = to.select(F.col("id").alias("component"), "to")
         out = out.join(at, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-    out = cut(out)
+    out = cut(out, light=True)
     least = out.groupBy("component").agg(F.min("id").alias("least"))
     return out.join(least, "component").select("id", F.col("least").alias("component"))
 
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else null. Empty tables give empty results; other columns are ignored.
     """
     marks = cut(fingerprints(docs))
-    points = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    points = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("id")), light=True)
     named = points.filter("id IS NOT NULL")
     label = components(links(named, named.count()))
     # rows without any doc_id have no name to give: their fingerprint links to nothing

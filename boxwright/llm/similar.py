@@ -131,7 +131,7 @@ def rare_pairs(docs: DataFrame, rest: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` whose sets have a similarity of 0.8 or more: 9 times the common ones are 4 times the sum of the sizes."""
-    used = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    used = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), light=True)
     if 16 * used.count() <= BROADCAST_BYTES:
         used = F.broadcast(used)  # texts stay where they are
     sets = cut(shingles(docs.join(used, "id", "left_semi")))
@@ -141,23 +141,23 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """id and group (its smallest id) of every row of ``docs`` (id, text; id distinct): what SimHash or similarity links, directly or over others."""
-    near = cut(simhash.near_duplicates(docs.select(F.col("id").alias("doc_id"), "text")).select(F.col("doc_id").alias("id"), F.col("component_id").alias("label")))
-    sets = cut(sketches(docs).join(near, "id"))
+    near = cut(simhash.near_duplicates(docs.select(F.col("id").alias("doc_id"), "text")).select(F.col("doc_id").alias("id"), F.col("component_id").alias("label")), light=True)
+    sets = cut(sketches(docs).join(near, "id"), light=True)
     # equal sets are one, and go with each other's groups
-    one = cut(sets.groupBy("whole", "size").agg(F.min(F.struct("id", "label", "bands")).alias("r")).select("whole", "size", "r.*"))
+    one = cut(sets.groupBy("whole", "size").agg(F.min(F.struct("id", "label", "bands")).alias("r")).select("whole", "size", "r.*"), light=True)
     twins = sets.select("whole", "size", F.col("label").alias("a")).distinct().join(one.select("whole", "size", F.col("label").alias("b")), ["whole", "size"])
-    links = cut(twins.filter("a <> b").select("a", "b").distinct())
-    label = cut(simhash.components(links))
+    links = cut(twins.filter("a <> b").select("a", "b").distinct(), light=True)
+    label = cut(simhash.components(links), light=True)
     for exact in (False, True):
         now = one.join(label.select(F.col("id").alias("label"), "component"), "label", "left")
         now = now.select("id", F.coalesce("component", "label").alias("label"), "size", "bands")
         if exact:
-            rest = cut(crowded(now))
-            pairs = cut(rare_pairs(docs, rest))
+            rest = cut(crowded(now), light=True)
+            pairs = cut(rare_pairs(docs, rest), light=True)
         else:
-            pairs = cut(candidates(now))
-        links = cut(links.union(verified(docs, pairs)).distinct())
-        label = cut(simhash.components(links))
+            pairs = cut(candidates(now), light=True)
+        links = cut(links.union(verified(docs, pairs)).distinct(), light=True)
+        label = cut(simhash.components(links), light=True)
     return near.join(label.select(F.col("id").alias("label"), "component"), "label", "left").select("id", F.coalesce("component", "label").alias("group"))
 
 
@@ -172,9 +172,9 @@ def keep_first(docs: DataFrame, stable: bool = False) -> DataFrame:
         docs = cut(docs)
     row, seen = F.monotonically_increasing_id(), F.xxhash64("text")
     ids = cut(docs.select(row.alias("id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("d"), seen.alias("x")))
-    named = cut(groups(docs.select(row.alias("id"), "text")).join(ids, "id"))
+    named = cut(groups(docs.select(row.alias("id"), "text")).join(ids, "id"), light=True)
     first = named.groupBy("group").agg(F.min(F.struct("d", "id"))["id"].alias("first"))
-    gone = cut(named.join(first, "group").filter("id <> first").select(F.col("id").alias("_id"), F.col("x").alias("_was")))
+    gone = cut(named.join(first, "group").filter("id <> first").select(F.col("id").alias("_id"), F.col("x").alias("_was")), light=True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"), row.alias("_id"), seen.alias("_x"))
     # gone rows are broadcast while their measured size allows
     both = rows.join(F.broadcast(gone) if 48 * gone.count() <= BROADCAST_BYTES else gone, "_id", "left")

@@ -704,3 +704,26 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, id int, label int, _id int").write.parquet(f"{top}/none/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{top}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{top}/none").count() == 0
+
+
+def test_light_results_go_to_few_files(spark):
+    from pathlib import Path
+
+    from boxwright.llm import _spark, simhash
+
+    n, held = 120, {"spark.sql.shuffle.partitions": "120", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    docs = spark.createDataFrame([(i, f"a b c d {i // 2}") for i in range(40)], "doc_id long, text string")
+    _spark.shared_dir(spark)
+    top = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    seen = set(top.glob("rdd-*"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(got[i] <= i and got[i] == got[i - i % 2] for i in range(40))
+    files = [len(list(p.glob("part-*"))) for p in set(top.glob("rdd-*")) - seen]
+    assert files and max(files) <= max(n // 8, 4 * spark.sparkContext.defaultParallelism) < n
